@@ -80,3 +80,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def learnable(labels: DataFrame, column: str, most: int) -> DataFrame:
+    """(doc_id, label) of at most so many labelled rows, the first by a hash of their id; never of held-out ones."""
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
+    own = own.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
+    return own.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
