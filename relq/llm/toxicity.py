@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import held_out, learnable, materialize, small_batches, table
 
@@ -216,14 +217,14 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return own.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def lexicon(docs: DataFrame, sample: DataFrame, most: int = TERMS) -> list[str]:
-    """Terms that tell toxic documents from others: by likelihood ratio, whole words before the beginnings that hold
+def lexicon(docs: DataFrame, most: int = TERMS) -> list[str]:
+    """From labelled documents (text, label), terms that tell toxic documents from others: by likelihood ratio, whole words before the beginnings that hold
     hardly more, and no term inside another. The ratio must be one that chance gives to less than one of all terms."""
-    total = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = {r.label: r.n for r in docs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     p, n = float(total.get(1, 0)), float(total.get(0, 0))
     if not p or not n:
         return []
-    counts = term_counts(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
+    counts = term_counts(docs)
     part = lambda c, e: F.when(c > 0, c * F.log(c / e)).otherwise(0.0)
     both = F.col("pos") + F.col("neg")
     sure = 2 * (part(F.col("pos"), both * p / (p + n)) + part(F.col("neg"), both * n / (p + n)))
@@ -241,32 +242,56 @@ def lexicon(docs: DataFrame, sample: DataFrame, most: int = TERMS) -> list[str]:
     return chosen
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, score) for each row of docs; the score is the chance that the label is 1.
+@dataclass
+class Model:
+    """The lexicon's automaton and the weights of MEASURES, the intercept last."""
 
-    Learns the lexicon and the weights from at most train_rows labelled rows, none held out; labels with nulls or
-    without a document teach nothing, and where one of both labels is missing every score is one half or their share.
-    Null, empty and repeated texts are scored like others; ids may be null; an empty table gives none; other columns
-    are ignored.
-    """
+    reader: Automaton
+    weights: np.ndarray
+
+    def score(self, text: str | None) -> float:
+        x = float(np.dot(measures(self.reader, text or ""), self.weights[:-1]) + self.weights[-1])
+        return 1 / (1 + math.exp(-min(max(x, -30.0), 30.0)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: int = TRAIN_ROWS) -> Model:
+    """Learns the lexicon and the weights from at most train_rows labelled rows, none held out. Labels with nulls or
+    without a document teach nothing; where one of both labels is missing every score is one half or their share."""
     spark = docs.sparkSession
     small_batches(spark)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = materialize(learnable(labels, label, train_rows), "sample")
-    reader = spark.sparkContext.broadcast(automaton(lexicon(own, sample)))  # at most TERMS terms
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    own = materialize(own, "sample-texts")
+    reader = automaton(lexicon(own.select("doc_id", "text", "label")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = pa.array([measures(reader, t or "") for t in b.column(1).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), f, b.column(2)], ["doc_id", "f", "label"])
+
+    rows = own.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, f array<double>, label int").orderBy("doc_id", "label").limit(2 * train_rows).toPandas()
+    return Model(reader, logistic(np.array(rows.f.tolist(), np.float64).reshape(len(rows), len(MEASURES)), rows.label.to_numpy(np.float64)))
+
+
+def classify(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with one more column, the chance that the text is toxic.
+
+    Null, empty and repeated texts are scored like others; ids may be null; an empty table gives none; the column
+    replaces one of its name, others stay.
+    """
+    small_batches(docs.sparkSession)
+    known = docs.sparkSession.sparkContext.broadcast(model)  # at most TERMS terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = pa.array([measures(reader.value, t or "") for t in b.column(1).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), f], ["doc_id", "f"])
+            scores = pa.array([known.value.score(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, scores], [*b.schema.names, name])
 
-    found = materialize(own.mapInArrow(run, "doc_id long, f array<double>"), "measures")
-    rows = found.join(F.broadcast(sample), "doc_id").orderBy("doc_id", "label").limit(2 * train_rows).select("label", "f").toPandas()
-    w = logistic(np.array(rows.f.tolist(), np.float64).reshape(len(rows), len(MEASURES)), rows.label.to_numpy(np.float64))
-    total = sum((F.col("f")[k] * float(w[k]) for k in range(len(MEASURES))), F.lit(float(w[-1])))
-    return found.select("doc_id", (1.0 / (1.0 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), total))))).alias("score"))
+    own = docs.drop(name)
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
-    scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = classify(docs, fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
