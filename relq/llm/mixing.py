@@ -83,5 +83,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     return rows.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + more).cast("long").alias("taken"))
 
 
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """docs as often as the mix takes each: whole epochs and, where a part is taken, the whole text once more.
+
+    Documents that it does not take go. Rows without an id are told apart by their text; rows that share both are
+    repeated alike.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    ids = docs.withColumn("doc_id", key)
+    times = mix(ids, **how).where("taken > 0").groupBy(F.col("doc_id").alias("__key")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__times"))
+    out = docs.withColumn("__key", key).join(times, "__key")
+    return out.withColumn("__times", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__key", "__times")
+
+
 def op9_mixing_sources(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

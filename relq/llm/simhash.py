@@ -210,6 +210,123 @@ def clusters(docs: DataFrame, shingle_words: int = 3, radius: int = 2) -> DataFr
     return own.join(of.join(smallest, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+#: Of near_duplicates: hash values of a signature, values of a band, bits within which fingerprints are linked, and the
+#: estimates below which a pair is none and from which it needs no exact check.
+SIGNATURE, BAND, RADIUS, LOW, HIGH = 120, 5, 3, 0.66, 0.93
+_MIX = np.random.Generator(np.random.PCG64(9)).integers(1, 1 << 63, SIGNATURE, np.uint64) | np.uint64(1)
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """The upper half of the least product of a shingle's hash with each of the odd numbers of _MIX."""
+    out = np.full(SIGNATURE, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(shingles), 4096):
+        out = np.minimum(out, (shingles[k : k + 4096, None] * _MIX).min(0))
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
+def row_key(docs: DataFrame):
+    """The id of a document, or where it has none a hash of its text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
+def _sketches(docs: DataFrame, words: int) -> DataFrame:
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for key, text in zip(*(c.to_pylist() for c in b.columns)):
+                digests = shingle_digests(text, words)
+                own = np.unique(np.frombuffer(digests, ">u8").astype(np.uint64))
+                sig = signature(own)
+                bands = [xxhash.xxh64_intdigest(sig[k : k + BAND].tobytes(), k) for k in range(0, SIGNATURE, BAND)] if len(own) else []
+                rows.append((key, xxhash.xxh64_intdigest(own.tobytes(), 1) >> 1, signed([fingerprint(digests)])[0], sig.tobytes(), signed(bands).tolist()))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], ["key", "same", "fp", "sig", "bands"])
+
+    own = docs.select(row_key(docs).alias("key"), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(run, "key long, same long, fp long, sig binary, bands array<long>")
+
+
+def _compared(pairs: DataFrame, like, name: str = "like") -> DataFrame:
+    """Pairs (a, b, x, y) -> (a, b, like): what a function says of their binary sides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [like(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.float64())], ["a", "b", name])
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, f"a long, b long, {name} double")
+
+
+def estimate(x: bytes, y: bytes) -> float:
+    return float((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).mean())
+
+
+def jaccard(x: bytes, y: bytes) -> float:
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(key, component) of every document: components of pairs whose sets of word shingles are so similar (Jaccard).
+
+    SimHash fingerprints within a few bits are candidates, through the vantage-point tree; but pairs at 0.8 differ in
+    ten bits at the median and up to eighteen, a radius at which no tree of 64-bit fingerprints prunes, so pairs that
+    share a band of their MinHash signatures are candidates too: each document with the least and the largest key of
+    its band. Texts with equal shingles are one before that. The signatures' estimate decides where it is far from the
+    threshold; between, pairs not linked otherwise are compared exactly. Documents without words are copies of each
+    other. key is row_key's; component is the least key.
+    """
+    own = materialize(_sketches(docs, words), "sketches")
+    one = materialize(own.groupBy("same").agg(F.min("key").alias("rep"), F.any_value("fp").alias("fp"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")), "distinct")
+    banded = one.select("rep", F.posexplode("bands").alias("n", "band"))
+    ends = banded.groupBy("n", "band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+    shared = banded.join(ends, ["n", "band"]).select("rep", F.explode(F.array("low", "high")).alias("other"))
+    least = one.groupBy("fp").agg(F.min("rep").alias("rep"))
+    tree = links(least.select("fp"), RADIUS)
+    close = tree.join(least.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(least.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
+    same_fp = one.join(least.select("fp", F.col("rep").alias("other")), "fp").select("rep", "other")
+    both = shared.unionByName(same_fp).unionByName(close.select(F.col("ra").alias("rep"), F.col("rb").alias("other"))).where("rep != other")
+    pairs = both.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+    x, y = one.select(F.col("rep").alias("a"), F.col("sig").alias("x")), one.select(F.col("rep").alias("b"), F.col("sig").alias("y"))
+    rated = materialize(_compared(pairs.join(x, "a").join(y, "b"), estimate).where(F.col("like") >= LOW), "rated")
+    sure = rated.where(F.col("like") >= HIGH).select("a", "b")
+    label = materialize(connected_components(sure), "sure")
+    of = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    open_ = rated.where(F.col("like") < HIGH).join(of("a"), "a", "left").join(of("b"), "b", "left")
+    open_ = materialize(open_.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "open")
+    asked = open_.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(np.frombuffer(shingle_digests(t, words), np.uint64)).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["key", "own"])
+
+    texts = docs.select(row_key(docs).alias("key"), F.col("text").cast("string").alias("text")).join(asked, "key", "left_semi")
+    sets = materialize(texts.mapInArrow(run, "key long, own binary").dropDuplicates(["key"]), "sets")
+    x, y = sets.select(F.col("key").alias("a"), F.col("own").alias("x")), sets.select(F.col("key").alias("b"), F.col("own").alias("y"))
+    exact = _compared(open_.join(x, "a").join(y, "b"), jaccard).where(F.col("like") >= similarity).select("a", "b")
+    label = connected_components(sure.unionByName(exact))
+    group = one.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("same", F.coalesce("component", "rep").alias("component"))
+    return own.select("key", "same").join(group, "same").select("key", "component")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents with the least key of their group of near duplicates, all columns; of rows that share a key one.
+
+    An empty table gives none. Null and blank texts are one group.
+    """
+    found = materialize(near_duplicates(docs, words, similarity), "groups")
+    kept = found.where(F.col("key") == F.col("component")).groupBy(F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
+    out = docs.withColumn("__key", row_key(docs)).join(kept, "__key")
+    once, more = out.where("__n = 1"), out.where("__n > 1")
+    if not kept.where("__n > 1").isEmpty():
+        once = once.unionByName(more.dropDuplicates(["__key"]))
+    return once.drop("__key", "__n")
+
+
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     out = clusters(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,6 +26,8 @@ from .common import held_out, learnable, materialize, small_batches, table
 #: Labelled rows learned from at most, terms of a lexicon at most, and the terms that a document has, about.
 TRAIN_ROWS, TERMS, DOC_TERMS = 20_000, 96, 300
 PREFIXES = range(3, 9)
+#: The most different words of one beginning that a term asks for.
+REPEATS = 4
 #: Code points on either side of a hit that tell a quotation.
 WINDOW = 60
 #: Marks of quotation, and words of reporting.
@@ -37,7 +39,16 @@ EXACT, NEAR, FAR = 1, 2, 3
 
 def allowed(term: str) -> int:
     """Edits that a term may have; beginnings of words (marked by a star) none."""
-    return 0 if term.endswith("*") or len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if "*" in term or len(term) < 5 else 1 if len(term) < 9 else 2
+
+
+def bare(term: str) -> str:
+    return term.partition("*")[0]
+
+
+def needed(term: str) -> int:
+    """How many different words of a document must match the term: the number after the star."""
+    return int(term.partition("*")[2] or 1)
 
 
 @dataclass
@@ -48,6 +59,7 @@ class Automaton:
     step: np.ndarray
     hit: np.ndarray
     term: np.ndarray
+    needed: list[int]
 
 
 def automaton(terms: list[str]) -> Automaton:
@@ -57,7 +69,7 @@ def automaton(terms: list[str]) -> Automaton:
     most = [0]
     for number, term in enumerate(terms):
         node = 0
-        for c in term.rstrip("*"):
+        for c in bare(term):
             if c not in children[node]:
                 children[node][c] = len(children)
                 children.append({})
@@ -67,8 +79,8 @@ def automaton(terms: list[str]) -> Automaton:
             most[node] = max(most[node], allowed(term))
             node = children[node][c]
         most[node] = max(most[node], allowed(term))
-        (begins if term.endswith("*") else ends)[node] = number
-    letters = sorted({c for t in terms for c in t.rstrip("*")})
+        (begins if "*" in term else ends)[node] = number
+    letters = sorted({c for t in terms for c in bare(t)})
 
     def closed(nodes: dict[int, int]) -> frozenset:
         todo = list(nodes.items())
@@ -128,7 +140,7 @@ def automaton(terms: list[str]) -> Automaton:
     for k, c in enumerate(letters):
         if ord(c) < 1 << 16:
             of[ord(c)] = k + 1
-    return Automaton(of, np.array(states, np.int32), np.array(hit, np.int8), np.array(term, np.int32))
+    return Automaton(of, np.array(states, np.int32), np.array(hit, np.int8), np.array(term, np.int32), [needed(t) for t in terms])
 
 
 @lru_cache(1)
@@ -168,6 +180,10 @@ def measures(own: Automaton, text: str) -> list[float]:
     words, found = hits(own, text.lower())
     low = text.lower() if found else ""
     count = [0.0] * 5
+    of = defaultdict(set)
+    for start, end, kind, term in found:
+        of[term].add(low[start:end])
+    found = [x for x in found if len(of[x[3]]) >= own.needed[x[3]]]
     terms = set()
     for start, end, kind, term in found:
         if quoted(low, start, end):
@@ -206,9 +222,12 @@ def term_counts(docs: DataFrame) -> DataFrame:
         for b in batches:
             for text, label in zip(*(c.to_pylist() for c in b.columns)):
                 words = {w for w in WORD.findall((text or "").lower()) if len(w) <= 40}
-                begins = {w[:n] + "*" for w in words for n in PREFIXES if len(w) >= n}
-                for w in words | begins:
+                begins = Counter(w[:n] for w in words for n in PREFIXES if len(w) >= n)
+                for w in words:
                     seen[w][label == 0] += 1
+                for w, k in begins.items():
+                    for m in range(1, min(k, REPEATS) + 1):
+                        seen[f"{w}*{m}"][label == 0] += 1
             if len(seen) > 300_000:
                 yield flush()
         yield flush()
@@ -218,8 +237,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def lexicon(docs: DataFrame, most: int = TERMS) -> list[str]:
-    """From labelled documents (text, label), terms that tell toxic documents from others: by likelihood ratio, whole words before the beginnings that hold
-    hardly more, and no term inside another. The ratio must be one that chance gives to less than one of all terms."""
+    """From labelled documents (text, label), the terms that tell toxic ones from others by their likelihood ratio,
+    which must be one that chance gives to less than one of all terms."""
     total = {r.label: r.n for r in docs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     p, n = float(total.get(1, 0)), float(total.get(0, 0))
     if not p or not n:
@@ -230,13 +249,17 @@ def lexicon(docs: DataFrame, most: int = TERMS) -> list[str]:
     sure = 2 * (part(F.col("pos"), both * p / (p + n)) + part(F.col("neg"), both * n / (p + n)))
     telling = counts.where((F.col("pos") >= 3) & (F.col("pos") / p >= 20 * (F.col("neg") + 0.5) / n)).withColumn("sure", sure).where(F.col("sure") >= 2 * math.log(4 * DOC_TERMS * (p + n)))
     found = telling.orderBy(F.desc("sure"), F.desc(F.length("term")), "term").limit(40 * most).select("term", "sure").collect()
-    own = {r.term: r.sure for r in found}
+    return choose({r.term: r.sure for r in found}, most)
+
+
+def choose(sure: dict[str, float], most: int = TERMS) -> list[str]:
+    """The surest terms, of which none is a beginning of another: whole words before the beginnings that are hardly
+    surer, long beginnings before short ones."""
     chosen: list[str] = []
-    for term in sorted(own, key=lambda t: (-own[t] * (1.02 if not t.endswith("*") else 1), -len(t), t)):
-        bare = term.rstrip("*")
-        if not any(bare.startswith(c[:-1]) if c.endswith("*") else term.endswith("*") and c.startswith(bare) or c == bare for c in chosen):
-            if not (term.endswith("*") and any(c.rstrip("*").startswith(bare) for c in chosen)):
-                chosen.append(term)
+    for term in sorted(sure, key=lambda t: (-sure[t] * (1 if "*" in t else 1.02), -len(bare(t)), t)):
+        own = bare(term)
+        if not any(own.startswith(bare(c)) if "*" in c else "*" in term and bare(c).startswith(own) for c in chosen) and not ("*" in term and any(bare(c).startswith(own) for c in chosen)):
+            chosen.append(term)
         if len(chosen) == most:
             break
     return chosen
