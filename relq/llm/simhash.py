@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize, small_batches, table
 
 SEED = 42
-#: Fingerprints from which the top of the tree is made.
-SAMPLE = 4096
+#: Fingerprints from which the top of the tree is made: at least, at most, and for each shard in between.
+SAMPLE, SAMPLE_MOST, SAMPLE_EACH = 4096, 1 << 18, 32
 #: Fingerprints that a shard should hold.
 SHARD = 20_000
 LEAF = 256
@@ -175,6 +175,7 @@ def links(fps: DataFrame, radius: int = 2, shard_rows: int = SHARD, sample: int
     """Distinct fingerprints (fp long) -> forest edges (a, b): their components are those of all links within the radius."""
     spark = fps.sparkSession
     total = fps.count()
+    sample = min(SAMPLE_MOST, max(sample, SAMPLE_EACH * total // shard_rows))
     points = np.array([r.fp for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)
     tree = grow(points, radius, max(16, int(len(points) * shard_rows / max(total, 1)))) if total > shard_rows else ("leaf",)
     where = spark.sparkContext.broadcast(tree)  # at most one node for each sampled fingerprint
