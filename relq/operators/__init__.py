@@ -1,5 +1,5 @@
 """Query values and what can be done with them."""
 
-from .query import Combined, CommonTable, Query, Recursive, combine
+from .query import Combined, CommonTable, Query, Raw, Recursive, combine
 
-__all__ = ["Combined", "CommonTable", "Query", "Recursive", "combine"]
+__all__ = ["Combined", "CommonTable", "Query", "Raw", "Recursive", "combine"]

@@ -55,6 +55,30 @@ class OutputColumns:
         return Expr("column", (self._alias, name), self._names[name])
 
 
+@dataclass(frozen=True, eq=False)
+class Raw:
+    """A common table's body as SQL text, for what queries cannot say, WITH RECURSIVE included.
+
+    {name} in the text stands for the table of an entity of uses, :name for a parameter of args. entity declares what
+    comes out; a missing column is error 4106.
+    """
+
+    text: str
+    declares: Any
+    uses: tuple = ()
+    args: tuple[tuple[str, Any], ...] = ()
+
+    @property
+    def entity(self) -> Any:
+        return self.declares
+
+    def outputs(self) -> list[tuple[str, Any]]:
+        return [(f.column, f.type) for f in self.declares.__fields__.values()]
+
+    def cte(self, name: str) -> CommonTable:
+        return CommonTable(name, self)
+
+
 @dataclass(frozen=True, eq=False)
 class Recursive:
     """Rows of anchor, then again and again the rows of source that on links to rows already found.

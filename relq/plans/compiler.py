@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.expr import INTEGERS, Expr, Window, ordered
-from ..operators.query import INCLUDED, ONLY, Combined, CommonTable, Query, Recursive
+from ..operators.query import INCLUDED, ONLY, Combined, CommonTable, Query, Raw, Recursive
 from ..sources.entity import Catalog
 
 #: A list longer than this is joined instead of written into the plan.
@@ -37,7 +37,7 @@ class Compiler:
         if isinstance(source, CommonTable):
             if id(source.body) not in self.common:
                 body = source.body
-                self.common[id(body)] = self.recursive(body) if isinstance(body, Recursive) else self.query(body)
+                self.common[id(body)] = self.recursive(body) if isinstance(body, Recursive) else self.raw(body) if isinstance(body, Raw) else self.query(body)
             return self.common[id(source.body)]
         return self.combined(source) if isinstance(source, Combined) else self.catalog.frame(source)
 
@@ -122,6 +122,10 @@ class Compiler:
             df = df.offset(c.offset_)
         return df.limit(c.limit_) if c.limit_ is not None else df
 
+    def raw(self, r: Raw) -> DataFrame:
+        df = self.spark.sql(r.text, args=dict(r.args) or None, **{e.__table__: self.catalog.frame(e) for e in r.uses})
+        return Catalog(self.spark, None, {r.declares.__table__: df}).frame(r.declares)
+
     def recursive(self, r: Recursive) -> DataFrame:
         """WITH RECURSIVE over the anchor's and the source's frames; a row whose walk holds its key goes no further."""
         names = [n for n, _ in r.anchor.outputs()]

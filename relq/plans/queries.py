@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import Window, dense_rank, fragment, lag, lead, literal, rank, row_number, scalar, scalar_count, scalar_first
-from ..operators.query import Recursive, combine
+from ..operators.query import Raw, Recursive, combine
 from ..operators.write import OnConflict, all_rows, removed, restored, soft_deleted, updated, upserted
 from ..sources.entity import Catalog
 from ..sources.star import Customer, Edge, Event, FiledOrder, Lineitem, Nation, Node, Orders, Part, Region, Supplier
@@ -549,6 +549,13 @@ def _():
     return Recursive("tree", anchor, Node, lambda n, t: n.parent_id == t.id).query()
 
 
+@registered("raw_recursive_table", f"WITH RECURSIVE n AS (SELECT * FROM {NODES}), t AS (SELECT id, parent_id, size FROM n WHERE id = 5 UNION ALL SELECT n.id, n.parent_id, n.size FROM n JOIN t ON n.parent_id = t.id) SELECT id, size FROM t WHERE size > 10")
+def _():
+    text = "WITH RECURSIVE t AS (SELECT * FROM {nodes} WHERE id = :root UNION ALL SELECT n.* FROM {nodes} n JOIN t ON n.parent_id = t.id) SELECT * FROM t"
+    below = Raw(text, Node, (Node,), (("root", 5),)).cte("below")
+    return Node.query().reading_from(below).where(lambda n: n.size > 10).select(lambda n: {"id": n.id, "size": n.size})
+
+
 CYCLE = "(VALUES ('root', 'c'), ('b', 'root'), ('c', 'b')) e(id, parent_id)"
 
 

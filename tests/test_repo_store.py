@@ -253,3 +253,20 @@ def test_transaction_time_is_one(store):
     tx = Session(store, [Entry])
     tx.insert(Entry, [{"name": "a"}])
     assert len({tx.repo.frame(Entry.select(t=now())).select(F.col("t").cast("string")).first()[0] for _ in range(2)}) == 1
+
+
+def test_stored_forms(spark):
+    from relq.functions import codec
+
+    t = dt.time(23, 59, 58, 7)
+    assert codec.micros_to_time(codec.time_to_micros(t)) == t
+    with pytest.raises(RelqError):
+        codec.micros_to_time(codec.DAY)
+    assert codec.from_json(codec.to_json({"b": [1, None], "a": "é"})) == {"a": "é", "b": [1, None]}
+    with pytest.raises(RelqError):
+        codec.from_json("{")
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 31, 12), codec.interval(1, 1, 1_500_000), '{"k": 3}')], "at timestamp_ntz, i struct<months:int,days:int,micros:long>, j string")
+    from pyspark.sql import types as T
+
+    row = df.select(codec.add_interval(F.col("at"), F.col("i")).alias("x"), codec.json_column(F.col("j"), T.StructType([T.StructField("k", T.IntegerType())])).alias("j")).first()
+    assert row.x == dt.datetime(2024, 3, 1, 12, 0, 1, 500_000) and row.j.k == 3
