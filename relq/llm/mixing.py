@@ -63,7 +63,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     """
     text = F.col("text").cast("string")
     size = word_count(text)
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", text), 11).cast("double") + 0.5) / float(1 << 53)
+    drawn = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(text, F.lit(""))), 256)
+    u = (F.conv(F.substring(drawn, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     key = -F.log(u) / (quality(text, size) if weight is None else weight)
     own = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), key.alias("key")), "mix")
     per = materialize(targets(own, weights, share, repeats), "targets")
@@ -98,3 +99,20 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
 def op9_mixing_sources(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: DuckDB. The same draw, with one sort and one running sum for each source.
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, text, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+k AS (SELECT doc_id, source, size,
+    -ln((CAST('0x' || substr(sha256('11|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
+    / greatest(0.2, 1.0 / (1.0 + abs(ln(greatest(coalesce((length(text) - size + 1) / nullif(size, 0), 1.0), 0.1) / 5.0)))) AS key FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight, source_size * CAST(2 AS DOUBLE) AS most FROM s),
+l AS (SELECT *, (sum(source_size) OVER () * CAST(1.5 AS DOUBLE) - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, source_size, least(most, coalesce((SELECT arg_min(level, most / weight) FROM l WHERE level * weight <= most) * weight, most)) AS target FROM l),
+r AS (SELECT k.doc_id, k.size, t.source_size, t.target, floor(t.target / greatest(t.source_size, 1)) AS epochs,
+    coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, CAST(round(target - epochs * source_size) AS BIGINT) - before)) AS BIGINT) AS taken FROM r
+"""

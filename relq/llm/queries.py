@@ -10,9 +10,9 @@ from .chat import OP8_SQL, op8_chat_formatting
 from .cws import op3_document_fingerprints
 from .gam import op6_quality_classifier
 from .hnsw import op10_approximate_nearest_neighbours
-from .mixing import op9_mixing_sources
+from .mixing import OP9_SQL, op9_mixing_sources
 from .packing import op2_packing
-from .secrets import op1_secret_scans
+from .secrets import OP1_SQL, op1_secret_scans
 from .simhash import op4_simhash_near_dedup
 from .token_counts import op5_token_counts
 from .toxicity import op7_toxicity
@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_formatting": OP8_SQL}
+    return {"op1_secret_scans": OP1_SQL, "op8_chat_formatting": OP8_SQL, "op9_mixing_sources": OP9_SQL}

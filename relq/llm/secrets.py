@@ -132,3 +132,23 @@ def op1_secret_scans(spark, sf_dir: str) -> DataFrame:
     return findings(docs).select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans")
     )
+
+
+def _duckdb_spans(rule: Rule, number: int) -> str:
+    """A list of (start, kind's number, end) of one rule, from the gaps between its matches and the matches."""
+    p = "'" + rule.pattern.replace("'", "''") + "'"
+    gaps, hits, kept = f"string_split_regex(t, {p})", f"regexp_extract_all(t, {p}, 0)", f"regexp_extract_all(t, {p}, {rule.group})"
+    lengths = lambda x, upto: f"coalesce(list_sum([length(y) for y in ({x})[1:{upto}]]), 0)"
+    start = f"CAST({lengths(gaps, 'i')} + {lengths(hits, 'i - 1')} AS BIGINT)"
+    kind = rule.kind
+    return f"[{{'s': {start}, 'k': {number}, 'e': {start} + length(({hits})[i]), 'n': '{kind}'}} for i in range(1, len({hits}) + 1) if length(({kept})[i]) >= {rule.least}]"
+
+
+#: DuckDB, from the same rules.
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT doc_id, list_sort(list_concat({", ".join(_duckdb_spans(r, k) for k, r in enumerate(RULES[:3]))})) AS base, list_concat({", ".join(_duckdb_spans(r, k + 3) for k, r in enumerate(RULES[3:]))}) AS added FROM d),
+g AS (SELECT doc_id, base, list_sort(list_concat(base, added)) AS every FROM f)
+SELECT doc_id, CAST(len([x for x in base if x.k = 0]) AS BIGINT) AS n_assign, CAST(len([x for x in base if x.k = 1]) AS BIGINT) AS n_access, CAST(len([x for x in base if x.k = 2]) AS BIGINT) AS n_hex,
+  sha256(coalesce(array_to_string([x.n || ':' || x.s || ':' || x.e for x in base], ','), '')) AS base_sha256, coalesce(array_to_string([x.n || ':' || x.s || ':' || x.e for x in every], ','), '') AS spans FROM g
+"""

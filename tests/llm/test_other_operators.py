@@ -174,3 +174,16 @@ def test_registry():
     names = list(queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] and set(oracle_sql()) <= set(names)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_same_rows_as_duckdb(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    df, want = queries()[name](spark, sf), con.sql(oracle_sql()[name])
+    assert sorted(df.columns) == sorted(want.columns)
+    plain = lambda r: [f"{x:.6f}" if isinstance(x, float) else x for x in r]
+    assert sorted(plain(r) for r in df.select(*want.columns).collect()) == sorted(plain(r) for r in want.fetchall())
