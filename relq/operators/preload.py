@@ -58,6 +58,12 @@ def preloaded(compiler: Any, df: DataFrame, q: Query) -> DataFrame:
         else:
             rows = rows.withColumn("__from", F.col(a.key))
         rows = rows.where(F.col("__from").isNotNull())
+        if a.kind == "has_many" and not child.order:  # by key alone: sorted where they are gathered
+            keys = [F.col(f"`{k}`") for k in child.entity.primary_key()]
+            rows = rows.select("__from", F.struct(*(k.alias(f"__k{i}") for i, k in enumerate(keys)), row.alias("__row")).alias("__one"))
+            lists = rows.groupBy("__from").agg(F.sort_array(F.collect_list("__one")).alias("__rows"))
+            df = _with_lists(df, lists, own, name)
+            continue
         nth = F.row_number().over(W.partitionBy("__from").orderBy(*_ordering(child, rows)))
         rows = rows.select("__from", row.alias("__row"), nth.alias("__n"))
         if a.kind == "has_one":
@@ -65,7 +71,11 @@ def preloaded(compiler: Any, df: DataFrame, q: Query) -> DataFrame:
             df = df.join(side, df[own] == side["__from"], "left").drop("__from")
             continue
         lists = rows.groupBy("__from").agg(F.sort_array(F.collect_list(F.struct("__n", "__row"))).alias("__rows"))
-        side = lists.select("__from", F.transform("__rows", lambda x: x["__row"]).alias(name))
-        df = df.join(side, df[own] == side["__from"], "left").drop("__from")
-        df = df.withColumn(name, F.coalesce(F.col(name), F.array().cast(side.schema[name].dataType)))
+        df = _with_lists(df, lists, own, name)
     return df
+
+
+def _with_lists(df: DataFrame, lists: DataFrame, own: str, name: str) -> DataFrame:
+    side = lists.select("__from", F.transform("__rows", lambda x: x["__row"]).alias(name))
+    df = df.join(side, df[own] == side["__from"], "left").drop("__from")
+    return df.withColumn(name, F.coalesce(F.col(name), F.array().cast(side.schema[name].dataType)))

@@ -338,8 +338,8 @@ class Scope:
         c = self.column(a)
         if condition is not None:
             c = F.when(self.column(condition), c)
-        if name == "sum" and isinstance(a.type, INTEGERS):
-            return F.sum(c.cast("decimal(38,0)"))
+        if name == "sum" and isinstance(a.type, INTEGERS):  # longs may pass their range on the way to a sum within it
+            return F.sum(c.cast("decimal(38,0)") if isinstance(a.type, T.LongType) else c.cast("long"))
         if name in ("sum", "avg") and not isinstance(a.type, T.DecimalType):
             return getattr(F, name)(c.cast("double"))
         if name == "percentile":

@@ -16,7 +16,6 @@ from ..sources.entity import Catalog
 from ..sources.star import Customer, Edge, Event, FiledOrder, Lineitem, Nation, Node, Orders, Part, Region, Supplier
 from .compiler import Compiler
 
-MONEY = T.DecimalType(18, 2)
 Made = tuple[Callable[[Compiler], DataFrame], str]
 _made: dict[str, Made] = {}
 
@@ -53,8 +52,9 @@ def oracle_sql() -> dict[str, str]:
     return {n: sql for n, (_, sql) in _made.items()}
 
 
-def money(e):
-    return e.cast(MONEY)
+def total(e, digits=2):
+    """A sum of amounts with so many digits, as a double: rounding takes the order of additions out."""
+    return e.sum().rounded(digits)
 
 
 def count_rows():
@@ -66,7 +66,7 @@ def count_rows():
 
 @registered(
     "pricing_summary",
-    """SELECT l_returnflag, l_linestatus, sum(CAST(l_quantity AS DECIMAL(18,2)))::DECIMAL(28,2) AS sum_qty, sum(CAST(l_extendedprice AS DECIMAL(18,2)))::DECIMAL(28,2) AS sum_price,
+    """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_price,
     round(avg(l_quantity), 6) AS avg_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL ORDER BY 1, 2""",
 )
 def _():
@@ -77,7 +77,7 @@ def _():
         .group_by(lambda x: (x.l_returnflag, x.l_linestatus))
         .select(
             lambda x: {
-                "l_returnflag": x.l_returnflag, "l_linestatus": x.l_linestatus, "sum_qty": money(x.l_quantity).sum(), "sum_price": money(x.l_extendedprice).sum(),
+                "l_returnflag": x.l_returnflag, "l_linestatus": x.l_linestatus, "sum_qty": total(x.l_quantity), "sum_price": total(x.l_extendedprice),
                 "avg_qty": fragment("round({}, 6)", x.l_quantity.avg()), "avg_disc": fragment("round({}, 6)", x.l_discount.avg()), "n": count_rows(),
             }
         )
@@ -85,10 +85,10 @@ def _():
     )
 
 
-@registered("group_having", "SELECT o_custkey, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DECIMAL(28,2) AS total FROM orders GROUP BY 1 HAVING count(*) > 12 AND o_custkey < 1000")
+@registered("group_having", "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1 HAVING count(*) > 12 AND o_custkey < 1000")
 def _():
     q = Orders.group_by(lambda o: o.o_custkey).having(lambda o: (count_rows() > 12) & (o.o_custkey < 1000))
-    return q.select(o_custkey=lambda o: o.o_custkey, n=count_rows(), total=lambda o: money(o.o_totalprice).sum())
+    return q.select(o_custkey=lambda o: o.o_custkey, n=count_rows(), total=lambda o: total(o.o_totalprice))
 
 
 @registered("having_without_groups", "SELECT count(*) AS n, min(o_orderkey) AS low FROM orders HAVING count(*) > 10")
@@ -122,9 +122,15 @@ def _():
     return Part.where(lambda p: p.p_size < 0).select(n=count_rows(), s=lambda p: p.p_size.sum(), m=lambda p: p.p_name.max())
 
 
-@registered("expression_aggregates", "SELECT l_returnflag, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DECIMAL(38,4)) AS revenue, max(l_quantity * 2) AS m FROM lineitem GROUP BY 1")
+@registered("expression_aggregates", "SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, max(l_quantity * 2) AS m FROM lineitem GROUP BY 1")
 def _():
-    return Lineitem.group_by(lambda x: x.l_returnflag).select(lambda x: {"l_returnflag": x.l_returnflag, "revenue": (money(x.l_extendedprice) * (literal(1).cast(T.DecimalType(4, 2)) - x.l_discount.cast(T.DecimalType(4, 2)))).sum().cast(T.DecimalType(38, 4)), "m": (x.l_quantity * 2.0).max()})
+    return Lineitem.group_by(lambda x: x.l_returnflag).select(lambda x: {"l_returnflag": x.l_returnflag, "revenue": total(x.l_extendedprice * (literal(1.0) - x.l_discount), 4), "m": (x.l_quantity * 2.0).max()})
+
+
+@registered("decimal_aggregates", "SELECT c_mktsegment, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS s, max(CAST(c_acctbal AS DECIMAL(18,2))) AS m FROM customer GROUP BY 1")
+def _():
+    exact = lambda c: c.c_acctbal.cast(T.DecimalType(18, 2))
+    return Customer.group_by(lambda c: c.c_mktsegment).select(lambda c: {"c_mktsegment": c.c_mktsegment, "s": exact(c).sum(), "m": exact(c).max()})
 
 
 @registered("count_of_groups", "SELECT count(*) AS n FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 10)")
@@ -308,14 +314,14 @@ def _():
 
 @registered(
     "five_table_join",
-    """SELECT r_name, s_name, count(*) AS n, sum(CAST(l_extendedprice AS DECIMAL(18,2)))::DECIMAL(28,2) AS total FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey
+    """SELECT r_name, s_name, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey
     JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE o_orderstatus = 'O' GROUP BY 1, 2""",
 )
 def _():
     q = Lineitem.join(Orders, lambda x, o: o.o_orderkey == x.l_orderkey).join(Supplier, lambda x, o, s: s.s_suppkey == x.l_suppkey)
     q = q.join(Nation, lambda x, o, s, n: n.n_nationkey == s.s_nationkey).join(Region, lambda x, o, s, n, r: r.r_regionkey == n.n_regionkey)
     q = q.where(lambda x, o, *_: o.o_orderstatus == "O").group_by(lambda x, o, s, n, r: (r.r_name, s.s_name))
-    return q.select(lambda x, o, s, n, r: {"r_name": r.r_name, "s_name": s.s_name, "n": count_rows(), "total": money(x.l_extendedprice).sum()})
+    return q.select(lambda x, o, s, n, r: {"r_name": r.r_name, "s_name": s.s_name, "n": count_rows(), "total": total(x.l_extendedprice)})
 
 
 @registered("self_join", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
@@ -382,9 +388,9 @@ def _():
     return Orders.select(lambda o: {"o_orderkey": o.o_orderkey, "n": row_number().over(by_date(o)), "r": rank().over(v(o)), "d": dense_rank().over(v(o))})
 
 
-@registered("running_sum", f"SELECT o_orderkey, (sum(CAST(o_totalprice AS DECIMAL(18,2))) {PER_CUSTOMER}))::DECIMAL(28,2) AS total FROM orders")
+@registered("running_sum", f"SELECT o_orderkey, round(sum(o_totalprice) {PER_CUSTOMER}), 2) AS total FROM orders")
 def _():
-    return Orders.select(lambda o: {"o_orderkey": o.o_orderkey, "total": money(o.o_totalprice).sum().over(by_date(o))})
+    return Orders.select(lambda o: {"o_orderkey": o.o_orderkey, "total": o.o_totalprice.sum().over(by_date(o)).rounded(2)})
 
 
 @registered("trailing_average", f"SELECT o_orderkey, round(avg(o_totalprice) {PER_CUSTOMER} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS a, count(*) {PER_CUSTOMER} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM orders")
