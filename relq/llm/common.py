@@ -36,10 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Folders that this process has made in the shared one.
+_made: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes the intermediate tables made so far. Frames that were made from them can't be read afterwards."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/relq-{label}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

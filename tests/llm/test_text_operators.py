@@ -391,6 +391,15 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_intermediate_tables_can_be_removed(spark):
+    from relq.llm.common import clean, materialize
+
+    path = materialize(spark.range(3), "gone").inputFiles()[0].rpartition("/")[0]
+    clean(spark)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
+
+
 def test_edited_texts_digest(spark, sf):
     rows = cws.op3_document_fingerprints(spark, sf).collect()
     docs = sorted(((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()), reverse=True)
