@@ -285,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: in
     sample = materialize(learnable(labels, label, train_rows), "sample")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     own = materialize(own, "sample-texts")
-    reader = automaton(lexicon(own.select("doc_id", "text", "label")))
+    reader = automaton(lexicon(own.select("text", "label").distinct()))  # copies of a text tell no more than one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
