@@ -141,7 +141,7 @@ def forest(points: np.ndarray, radius: int, leaf: int = LEAF) -> list[tuple[int,
                 other = rows[m : m + 4096]
                 near = np.bitwise_count(points[part][:, None] ^ points[other][None, :]) <= radius
                 label = np.where(near, other[None, :], np.iinfo(np.int64).max).min(1)
-                for _ in range(64):
+                while True:
                     back = np.where(near, label[:, None], np.iinfo(np.int64).max).min(0)
                     again = np.minimum(label, np.where(near, back[None, :], np.iinfo(np.int64).max).min(1))
                     if (again == label).all():
