@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import contextlib
 import datetime as dt
+import itertools
 import random
 import time
 from collections.abc import Callable, Iterator
@@ -17,6 +18,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 from ..errors import RelqError, VersionConflict, classify
 from ..plans.compiler import Compiler
@@ -76,6 +78,11 @@ class Session:
                     raise RelqError(4108, f"{n}: {v!r}")
         from pyspark.sql import types as T
 
+        for n, f in fields.items():
+            if f.generated and any(r.get(n) is None for r in rows):  # in the order of the list
+                last = self.rows(entity).agg(F.max(f.column)).first()[0] or 0
+                count = itertools.count(last + 1)
+                rows = [r if r.get(n) is not None else {**r, n: next(count)} for r in rows]
         schema = T.StructType([T.StructField(f.column, f.type, True) for f in fields.values()])
         return self.store.spark.createDataFrame([tuple(r.get(n) for n in fields) for r in rows], schema)
 
@@ -83,6 +90,8 @@ class Session:
         """Adds rows, numbering generated columns; gives the stored rows that were inserted or updated."""
         present = self.rows(entity)
         batch = write.generated(entity, self._batch(entity, rows), present)
+        if isinstance(rows, DataFrame):  # numbered once
+            batch = self.store.staged(entity, self.store.stage(entity, batch))
         if on_conflict is None:
             after, hit = present.unionByName(batch), batch
             key = entity.primary_key()

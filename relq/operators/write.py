@@ -12,6 +12,7 @@ from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import InvalidConflictClause, RelqError
@@ -147,20 +148,30 @@ def upserted(compiler: Compiler, df: DataFrame, entity: type, batch: DataFrame,
     return out.drop("__hit"), out.where("__hit").drop("__hit")
 
 
+#: Buckets by which a batch is numbered: their sizes are all that one task sees of the whole batch.
+BUCKETS = 4096
+
+
 def generated(entity: type, batch: DataFrame, present: DataFrame) -> DataFrame:
-    """The batch with the next numbers in its generated columns, in the order of its other columns where null."""
-    from pyspark.sql import Window as W
+    """The batch with all of the entity's columns, the next numbers in its generated ones where they are null.
 
+    Rows are numbered without gaps, by buckets of a hash of their other columns and by these columns within one.
+    """
     for f in entity.__fields__.values():
-        if f.generated and f.column not in batch.columns:
-            batch = batch.withColumn(f.column, F.lit(None).cast(f.type))
-        elif f.column not in batch.columns:
+        if f.column not in batch.columns:
             batch = batch.withColumn(f.column, F.lit(None).cast(f.type))
+    for f in entity.__fields__.values():
         if f.generated:
-            last = present.agg(F.coalesce(F.max(f.column), F.lit(0)).alias("__last"))
             missing, given = batch.where(F.col(f.column).isNull()), batch.where(F.col(f.column).isNotNull())
             by = [c for c in missing.columns if c != f.column]
-            missing = missing.crossJoin(F.broadcast(last)).withColumn(f.column, (F.col("__last") + F.row_number().over(W.orderBy(*by))).cast(f.type)).drop("__last")
+            missing = missing.withColumn("__b", F.pmod(F.xxhash64(*by), F.lit(BUCKETS)))
+            sizes = missing.groupBy("__b").count()
+            before = F.coalesce(F.sum("count").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+            last = present.agg(F.coalesce(F.max(f.column), F.lit(0)).alias("__last"))  # one row
+            starts = sizes.select("__b", before.alias("__start")).crossJoin(last)
+            nth = F.row_number().over(W.partitionBy("__b").orderBy(*by))
+            missing = missing.withColumn("__n", nth).join(F.broadcast(starts), "__b")  # BUCKETS rows at most
+            missing = missing.withColumn(f.column, (F.col("__last") + F.col("__start") + F.col("__n")).cast(f.type)).drop("__b", "__n", "__start", "__last")
             batch = given.unionByName(missing)
     return batch.select(*entity.columns())
 

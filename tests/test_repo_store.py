@@ -184,6 +184,16 @@ def test_insert_update_delete(store):
         tx.insert(Entry, [{"id": 2, "name": "c"}])
 
 
+def test_batches_are_numbered(store, spark):
+    with transaction(store, [Entry]) as tx:
+        got = tx.insert(Entry, [{"name": x} for x in "cab"])
+        assert [r.name for r in sorted(got.collect(), key=lambda r: r.id)] == ["c", "a", "b"]
+    with transaction(store, [Entry]) as tx:
+        tx.insert(Entry, spark.range(500).selectExpr("concat('n', id % 400) as name"))
+    ids = sorted(r.id for r in store.read(Entry).collect())
+    assert ids == list(range(1, 504))
+
+
 def test_upsert(store):
     with transaction(store, [Entry]) as tx:
         tx.insert(Entry, [{"name": "a", "value": "1"}, {"name": "b", "value": "9"}])
