@@ -139,7 +139,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     stay, visit = F.struct(F.col("bucket"), F.lit(0).alias("guest")), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("guest"))
     own = own.select("k", "doc_id", "text", F.explode(F.when(F.col("before").isNull(), F.array(stay)).otherwise(F.array(stay, visit))).alias("at"))
     own = own.select("at.bucket", "at.guest", "k", "doc_id", "text")
-    return own.repartition(buckets, "bucket").sortWithinPartitions("bucket", "guest", F.desc("k"), "text")
+    return own.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "guest", F.desc("k"), "text")
 
 
 def _at_most(borders: list[int]):
