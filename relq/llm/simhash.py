@@ -9,6 +9,7 @@ returns a spanning forest of its links instead of all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -211,6 +212,8 @@ def clusters(docs: DataFrame, shingle_words: int = 3, radius: int = 2) -> DataFr
     return own.join(of.join(smallest, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+#: Of _sharing_prefixes: shingles at most that are ordered by the number of documents that have them.
+FREQUENT = 200_000
 #: Of near_duplicates: hash values of a signature, values of a band, bits within which fingerprints are linked, and the
 #: estimates below which a pair is none and from which it needs no exact check.
 SIGNATURE, BAND, RADIUS, LOW, HIGH = 120, 5, 3, 0.66, 0.93
@@ -270,6 +273,84 @@ def jaccard(x: bytes, y: bytes) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def _sets(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
+    """(key, own): the sets of shingle hashes of the documents with these keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(np.frombuffer(shingle_digests(t, words), np.uint64)).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["key", "own"])
+
+    texts = docs.select(row_key(docs).alias("key"), F.col("text").cast("string").alias("text")).join(keys, "key", "left_semi")
+    return materialize(texts.mapInArrow(run, "key long, own binary").dropDuplicates(["key"]), "sets")
+
+
+def _exact(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are so similar."""
+    x, y = sets.select(F.col("key").alias("a"), F.col("own").alias("x")), sets.select(F.col("key").alias("b"), F.col("own").alias("y"))
+    return materialize(_compared(pairs.join(x, "a").join(y, "b"), jaccard).where(F.col("like") >= similarity).select("a", "b"), "exact")
+
+
+def _uncovered(banded: DataFrame, ends: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, component) of the members of bands that hold several components and pairs not compared: of up to three
+    members each pair has the least or the largest."""
+    of = label.select(F.col("node").alias("rep"), "component")
+    own = banded.join(ends.where("members > 3").select("n", "band"), ["n", "band"]).join(of, "rep", "left").select("n", "band", "rep", F.coalesce("component", "rep").alias("component"))
+    own = materialize(own, "members")
+    mixed = own.groupBy("n", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("n", "band")
+    return own.join(mixed, ["n", "band"]).select(F.col("rep").alias("key"), "component").distinct()
+
+
+def prefix(own: np.ndarray, often: np.ndarray, rank: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """The first shingles of a set, rare ones before the sorted often (by rank): as many as one must search of a set
+    that is the larger of a similar pair, and how many of them one must hold of the smaller."""
+    n, order = len(own), np.argsort(own, kind="stable")
+    if len(often):
+        at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+        order = np.lexsort((own, np.where(often[at] == own, rank[at], 0)))
+    least = lambda share: n - math.ceil(share * n - 1e-6) + 1
+    return own[order[: least(similarity)]], least(2 * similarity / (1 + similarity))
+
+
+def _sharing_prefixes(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different components, among them each that is so similar.
+
+    Of similar sets, ordered alike, the larger has among its first shingles one of the first of the smaller. Shingles
+    of many documents come last, so that a passage which these share makes no pairs; FREQUENT bounds how many have
+    their place by count, which changes the cost and not the result.
+    """
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for own in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(own, np.int64))], ["shingle"])
+
+    often = sets.select("own").mapInArrow(shingles, "shingle long").groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(FREQUENT).toPandas()
+    values = often["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(values)
+    known = sets.sparkSession.sparkContext.broadcast((values[order], often["count"].to_numpy(np.int64)[order]))  # at most FREQUENT shingles
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, component, own in zip(*(c.to_pylist() for c in b.columns)):
+                own = np.frombuffer(own, np.uint64)
+                if len(own):
+                    found, held = prefix(own, *known.value, similarity)
+                    each = lambda v: pa.array(np.full(len(found), v, np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), each(component), each(key), each(len(own)), pa.array(np.arange(len(found)) < held)], ["shingle", "component", "key", "size", "held"])
+
+    posted = rest.join(sets, "key").select("key", "component", "own").mapInArrow(run, "shingle long, component long, key long, size long, held boolean")
+    posted = materialize(posted, "posted")
+    mixed = posted.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("held").alias("held")).where("lo < hi and held").select("shingle")
+    lists = posted.join(mixed, "shingle").groupBy("shingle", "component").agg(F.collect_list(F.struct("key", "size", "held")).alias("docs"))
+    lists = materialize(lists, "lists")
+    two = lists.alias("l").join(lists.alias("r"), F.expr("l.shingle = r.shingle and l.component < r.component"))
+    two = two.select(F.explode("l.docs").alias("x"), F.col("r.docs").alias("docs")).select("x", F.explode("docs").alias("y"))
+    near = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-6
+    two = two.where(near & F.expr("(x.held and x.size <= y.size) or (y.held and y.size <= x.size)"))
+    return materialize(two.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct(), "pairs")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(key, component) of every document: components of pairs whose sets of word shingles are so similar (Jaccard).
 
@@ -277,14 +358,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     ten bits at the median and up to eighteen, a radius at which no tree of 64-bit fingerprints prunes, so pairs that
     share a band of their MinHash signatures are candidates too: each document with the least and the largest key of
     its band. Texts with equal shingles are one before that. The signatures' estimate decides where it is far from the
-    threshold; between, pairs not linked otherwise are compared exactly. Documents without words are copies of each
-    other. key is row_key's; component is the least key.
+    threshold; between, pairs not linked otherwise are compared exactly. Members of bands that hold several components
+    then are joined exactly by their rarest shingles, so that no pair within a band is left out. Documents without
+    words are copies of each other. key is row_key's; component is the least key.
     """
     own = materialize(_sketches(docs, words), "sketches")
     one = materialize(own.groupBy("same").agg(F.min("key").alias("rep"), F.any_value("fp").alias("fp"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")), "distinct")
     banded = one.select("rep", F.posexplode("bands").alias("n", "band"))
-    ends = banded.groupBy("n", "band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    shared = banded.join(ends, ["n", "band"]).select("rep", F.explode(F.array("low", "high")).alias("other"))
+    ends = banded.groupBy("n", "band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high")
+    ends = materialize(ends, "bands")
+    shared = banded.join(ends.drop("members"), ["n", "band"]).select("rep", F.explode(F.array("low", "high")).alias("other"))
     least = one.groupBy("fp").agg(F.min("rep").alias("rep"))
     tree = links(least.select("fp"), RADIUS)
     close = tree.join(least.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(least.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
@@ -298,18 +381,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     of = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
     open_ = rated.where(F.col("like") < HIGH).join(of("a"), "a", "left").join(of("b"), "b", "left")
     open_ = materialize(open_.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "open")
-    asked = open_.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(np.frombuffer(shingle_digests(t, words), np.uint64)).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["key", "own"])
-
-    texts = docs.select(row_key(docs).alias("key"), F.col("text").cast("string").alias("text")).join(asked, "key", "left_semi")
-    sets = materialize(texts.mapInArrow(run, "key long, own binary").dropDuplicates(["key"]), "sets")
-    x, y = sets.select(F.col("key").alias("a"), F.col("own").alias("x")), sets.select(F.col("key").alias("b"), F.col("own").alias("y"))
-    exact = _compared(open_.join(x, "a").join(y, "b"), jaccard).where(F.col("like") >= similarity).select("a", "b")
-    label = connected_components(sure.unionByName(exact))
+    sets = _sets(docs, open_.select(F.explode(F.array("a", "b")).alias("key")).distinct(), words)
+    exact = _exact(open_, sets, similarity)
+    label = materialize(connected_components(sure.unionByName(exact)), "linked")
+    rest = materialize(_uncovered(banded, ends, label), "rest")
+    if not rest.isEmpty():
+        sets = _sets(docs, rest.select("key"), words)
+        more = _exact(_sharing_prefixes(rest, sets, similarity), sets, similarity)
+        # a component that the first links made is one node here
+        of = lambda side: rest.select(F.col("key").alias(side), F.col("component").alias(f"c{side}"))
+        joined = materialize(connected_components(more.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "joined")
+        again = joined.select(F.col("node").alias("component"), F.col("component").alias("__to"))
+        whole = one.select("rep").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
+        label = whole.join(again, "component", "left").select(F.col("rep").alias("node"), F.coalesce("__to", "component").alias("component"))
     group = one.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("same", F.coalesce("component", "rep").alias("component"))
     return own.select("key", "same").join(group, "same").select("key", "component")
 

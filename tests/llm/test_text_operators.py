@@ -271,6 +271,42 @@ def test_near_duplicates_by_brute_force(spark, sf):
     assert simhash.one_of_each(twice).count() == len(set(root)) + 1
 
 
+def test_families_with_a_shared_passage_by_brute_force(spark):
+    rng = np.random.default_rng(11)
+    passage, texts, number = " ".join(f"p{x}" for x in range(83)), [], 0
+    for _ in range(400):  # two mates at 0.8 or just above, like the rest of the family at about 0.65
+        own = [f"u{number + x}" for x in range(21)]
+        number += 21
+        texts += [f"{passage} {' '.join(own)}", f"{passage} {' '.join(own[: int(rng.integers(10, 14))])} {' '.join(f'v{number + x}' for x in range(9))}"]
+    sets = [set(np.frombuffer(simhash.shingle_digests(t, 5), np.uint64).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert 300 < len(set(root)) < 500
+    order = rng.permutation(len(texts)).tolist()  # so that mates are not neighbours by key
+    got = {r.key: r.component for r in simhash.near_duplicates(documents(spark, texts, order)).collect()}
+    groups = {}
+    for i, r in enumerate(root):
+        groups.setdefault(r, set()).add(order[i])
+    assert got == {k: min(g) for g in groups.values() for k in g}
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(12)
+    often = np.arange(0, 60, dtype=np.uint64)
+    rank = rng.integers(3, 99, 60)
+    for _ in range(2000):
+        a = rng.choice(200, int(rng.integers(1, 80)), replace=False).astype(np.uint64)
+        b = np.unique(np.concatenate([a[: len(a) - int(rng.integers(0, len(a) // 5 + 1))], rng.choice(200, int(rng.integers(0, 8))).astype(np.uint64)]))
+        a, b = sorted((np.unique(a), b), key=len)
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            (x, held), (y, _) = (simhash.prefix(v, often, rank, 0.8) for v in (a, b))
+            assert len(np.intersect1d(x[:held], y))
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, empty):
     kept = simhash.one_of_each(odd.drop("__key"))
     assert kept.columns == odd.drop("__key").columns and {r.doc_id for r in kept.collect()} >= {0, 10, None} and kept.where("doc_id = 11").isEmpty()
