@@ -1,8 +1,8 @@
 """Document fingerprints by consistent weighted sampling.
 
 A document's terms are its word pairs (the whole word sequence where it has one word), weighted by how often each
-occurs and hashed to a fixed number of dimensions. For each of the samples a dimension has two Gamma(2, 1) variables
-and a uniform one, the same for all documents; the sample is the dimension with the least hash value, with the level
+occurs; a term's 64-bit hash is its dimension. For each of the samples a dimension has two Gamma(2, 1) variables and
+a uniform one, drawn from the hash and so the same for all documents; the sample is the dimension with the least hash value, with the level
 to which its weight was rounded. The share of equal samples estimates the generalised Jaccard similarity of the
 weights: the sum of the smaller ones divided by that of the larger ones.
 """
@@ -21,24 +21,39 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
-DIMENSIONS, SAMPLES = 1 << 17, 64
+#: Without a number of dimensions each 64-bit hash of a term is one.
+DIMENSIONS, SAMPLES = None, 64
 #: Terms whose samples are drawn at a time.
-CHUNK = 2048
+CHUNK = 512
 BUCKET_DOCS, BUCKETS = 4096, 10_000
 WORDS_KEPT = 300_000
+_UNIT = np.float32(2.0**-32)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of SplitMix64, in place."""
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 class Sampler(dict):
-    """Maps a word (bytes) to a hash of it; holds the random variables of every dimension."""
+    """Maps a word (bytes) to a hash of it; draws the random variables of any term from the term's hash, or holds
+    those of a given number of dimensions."""
 
-    def __init__(self, samples: int, dimensions: int, seed: int) -> None:
-        draw = np.random.Generator(np.random.PCG64(seed))
-        shape = (dimensions, samples)
-        gamma = lambda: -np.log((1 - draw.random(shape, np.float32)) * (1 - draw.random(shape, np.float32)) + np.float32(1e-30))
+    def __init__(self, samples: int, dimensions: int | None, seed: int) -> None:
         self.samples, self.dimensions = samples, dimensions
-        self.r, self.beta = gamma(), draw.random(shape, np.float32)
-        self.log_c = np.log(gamma() + np.float32(1e-30))
-        self.once = self.log_c - self.r * (1 - self.beta)  # the hash value at weight 1, whose level is 0
+        draw = np.random.Generator(np.random.PCG64(seed))
+        if dimensions is None:
+            self.salts = draw.integers(0, 1 << 64, (2, samples), np.uint64)
+        else:
+            shape = (dimensions, samples)
+            gamma = lambda: -np.log((1 - draw.random(shape, np.float32)) * (1 - draw.random(shape, np.float32)) + np.float32(1e-30))
+            self.r, self.beta = gamma(), draw.random(shape, np.float32)
+            self.log_c = np.log(gamma() + np.float32(1e-30))
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word, 1) >> 2
@@ -53,7 +68,29 @@ class Sampler(dict):
         ids = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
         pairs = ids[:-1] * np.uint64(0x9E3779B97F4A7C15) + ids[1:] if len(ids) > 1 else ids
         pairs = (pairs ^ (pairs >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return np.unique((pairs >> np.uint64(40)) % np.uint64(self.dimensions), return_counts=True)
+        return np.unique(pairs if self.dimensions is None else (pairs >> np.uint64(40)) % np.uint64(self.dimensions), return_counts=True)
+
+    def variables(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """r, beta and the logarithm of c, a row for each term and a column for each sample."""
+        if self.dimensions is not None:
+            return self.r[terms], self.beta[terms], self.log_c[terms]
+        first, second = (mixed(terms[:, None] ^ salt) for salt in self.salts)
+
+        def gamma(x: np.ndarray) -> np.ndarray:
+            halves = x.view(np.uint32).astype(np.float32)
+            halves += np.float32(0.5)
+            out = halves[:, ::2] * halves[:, 1::2]
+            out *= _UNIT * _UNIT
+            np.negative(np.log(out, out=out), out=out)
+            return np.maximum(out, np.float32(1e-30), out=out)
+
+        r, c = gamma(first), gamma(second)
+        first += second
+        first *= np.uint64(0xD6E8FEB86659FD93)
+        first >>= np.uint64(40)
+        beta = first.astype(np.float32)
+        beta *= np.float32(2.0**-24)
+        return r, beta, np.log(c, out=c)
 
     def fingerprint(self, text: str) -> np.ndarray:
         """16 bits of each sample; none for a text without words."""
@@ -63,30 +100,23 @@ class Sampler(dict):
         least, best, level = np.full(self.samples, np.inf, np.float32), np.zeros(self.samples, np.uint64), np.zeros(self.samples, np.int64)
         for k in range(0, len(where), CHUNK):
             own, w = where[k : k + CHUNK], weight[k : k + CHUNK]
-            value = self.once[own]
+            r, beta, log_c = self.variables(own)
+            value = log_c - r * (1 - beta)  # at weight 1, whose level is 0
             more = np.flatnonzero(w > 1)
             if len(more):
-                at = own[more]
-                r, beta = self.r[at], self.beta[at]
-                t = np.floor(np.log(w[more].astype(np.float32))[:, None] / r + beta)
-                value[more] = self.log_c[at] - r * (t - beta + 1)
-            i = value.argmin(0)
-            low = value[i, np.arange(self.samples)]
-            t_all = np.zeros(self.samples, np.int64)
-            if len(more):
-                place = np.full(len(own), -1)
-                place[more] = np.arange(len(more))
-                chosen = place[i]
-                held = chosen >= 0
-                t_all[held] = t[chosen[held], np.flatnonzero(held)].astype(np.int64)
+                t = np.zeros(r.shape, np.float32)
+                t[more] = np.floor(np.log(w[more].astype(np.float32))[:, None] / r[more] + beta[more])
+                value[more] = log_c[more] - r[more] * (t[more] - beta[more] + 1)
+            i, column = value.argmin(0), np.arange(self.samples)
+            low = value[i, column]
             new = low < least
-            least[new], best[new], level[new] = low[new], own[i][new], t_all[new]
-        mixed = (best * np.uint64(0x9E3779B97F4A7C15) + level.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-        return (mixed >> np.uint64(48)).astype(np.uint16)
+            least[new], best[new], level[new] = low[new], own[i][new], t[i, column][new].astype(np.int64) if len(more) else 0
+        out = (best * np.uint64(0x9E3779B97F4A7C15) + level.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        return (out >> np.uint64(48)).astype(np.uint16)
 
 
 @lru_cache(1)
-def sampler(samples: int, dimensions: int, seed: int) -> Sampler:
+def sampler(samples: int, dimensions: int | None, seed: int) -> Sampler:
     return Sampler(samples, dimensions, seed)
 
 
@@ -101,7 +131,7 @@ def written(fp: np.ndarray) -> str:
     return fp.astype(">u2").tobytes().hex()
 
 
-def fingerprints(docs: DataFrame, samples: int = SAMPLES, dimensions: int = DIMENSIONS, seed: int = 5, text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, samples: int = SAMPLES, dimensions: int | None = DIMENSIONS, seed: int = 5, text_col: str = "text") -> DataFrame:
     """docs (doc_id, text) -> doc_id, fingerprint (hexadecimal, 4 digits for each sample).
 
     Null and blank texts have the empty fingerprint. Ids may be null, rows may repeat, an empty table gives none;

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -169,6 +170,38 @@ def test_collisions_estimate_generalised_jaccard():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
 
 
+def test_long_texts_are_like_their_words_not_like_buckets():
+    s, n = cws.sampler(cws.SAMPLES, cws.DIMENSIONS, 5), 100_000
+    a, b = ([f"{side}{x}" for x in range(n)] for side in "ab")
+    third = a[: n - n // 3] + b[: n // 3]
+    first, other, edited = (s.fingerprint(" ".join(t)) for t in (a, b, third))
+    assert cws.likeness(first, other) <= 0.05
+    pairs = [set(zip(t, t[1:])) for t in (a, third)]
+    assert abs(cws.likeness(first, edited) - len(pairs[0] & pairs[1]) / len(pairs[0] | pairs[1])) < 0.2
+    assert len(s.terms(" ".join(a))[0]) == n - 1
+
+
+def test_collisions_of_unbounded_terms():
+    errors = []
+    for seed in range(24):
+        s, rng = cws.Sampler(256, None, seed), np.random.default_rng(3)
+        for _ in range(10):
+            words = rng.zipf(1.6, 300) % 50
+            a = " ".join(f"w{x}" for x in words)
+            b = " ".join(f"w{x}" for x in np.concatenate([words[: int(rng.integers(50, 290))], rng.zipf(1.6, 100) % 50]))
+            x, y = (Counter(zip(t, t[1:])) for t in (a.split(), b.split()))
+            errors.append(cws.likeness(s.fingerprint(a), s.fingerprint(b)) - (x & y).total() / (x | y).total())
+    assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.05
+
+
+def test_variables_have_their_distributions():
+    r, beta, log_c = cws.Sampler(64, None, 5).variables(np.arange(1, 20_001, dtype=np.uint64))
+    for gamma in (r, np.exp(log_c)):
+        assert abs(gamma.mean() - 2) < 0.01 and abs(gamma.var() - 2) < 0.03
+    assert abs(beta.mean() - 0.5) < 0.005 and 0 <= beta.min() and beta.max() <= 1
+    assert abs(np.corrcoef([r.ravel(), beta.ravel(), log_c.ravel()]) - np.eye(3)).max() < 0.005
+
+
 def test_fingerprints_of_odd_texts(spark, odd, empty):
     rows = {r.doc_id: r.fingerprint for r in cws.fingerprints(odd).collect()}
     assert rows[10] == rows[11] and rows[0] == rows[1] == rows[2] == "" and rows[4] != rows[10]
