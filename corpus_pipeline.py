@@ -31,7 +31,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks every span found. n_chars follows where the table has it."""
-    found = secrets.findings(docs)
+    found = secrets.findings(docs, rules=secrets.MASKED, version=secrets.MASKED_VERSION)
     out = found.withColumn("text", secrets.redact(F.col("text"), F.col("secret_spans")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

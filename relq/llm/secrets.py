@@ -48,6 +48,20 @@ ADDED = (
 )
 RULES = BASE + ADDED
 VERSION = "2"
+_KEY = r"[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+#: What is masked: the rules, but keys with their bodies (to the END line, or without one to the end of the base64 lines)
+#: and links with credentials of any length. Their patterns are Java's only, so the scans keep RULES.
+MASKED = tuple(
+    {
+        "pem": Rule(
+            "pem",
+            rf"-----BEGIN {_KEY}(?:(?>[\s\S]*?(?=-----))-----END {_KEY}|(?:\r?\n[A-Za-z-]+: [^\n]*)*+(?:\s+[A-Za-z0-9+/]{{16,}}+={{0,2}})*+(?:\r?\n[A-Za-z0-9+/]+={{0,2}}(?=[\r\n]|\z))?)",
+        ),
+        "url": Rule("url", r"://[^\s/:@]+:[^\s/:@]+@"),
+    }.get(r.kind, r)
+    for r in RULES
+)
+MASKED_VERSION = "2-masked"
 
 
 def rule_spans(text: Column, rule: Rule, number: int) -> Column:

@@ -79,6 +79,20 @@ def test_redaction_joins_overlaps(spark):
     assert out == "a <SECRET> b <SECRET>"
 
 
+def test_masks_cover_key_bodies_and_long_credentials(spark):
+    import corpus_pipeline
+
+    body = "\n".join(["MIIEpAIBAAKCAQEA" + "x9+/" * 12] * 20 + ["Zm9v=="])
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [
+        f"a {begin}\n{body}\n{end} b", f"a {begin}\n{body}\nsome words after it", f"a {begin} b", f"a {begin} b {begin}\r\n{body}\r\n{end} c", f"a {begin}\nProc-Type: 4,ENCRYPTED\n\n{body}\n{end} b",
+        f"https://user:{'p' * 200}@host/ and ftp://{'u' * 90}:pw@host", "http://host:80/a@b", f"a {begin}\nAbCd\n{end}{begin}\n{body}", None,
+    ]
+    masked = ["a <SECRET> b", "a <SECRET>\nsome words after it", "a <SECRET> b", "a <SECRET> b <SECRET> c", "a <SECRET> b", "https<SECRET>host/ and ftp<SECRET>host", texts[6], "a <SECRET><SECRET>", None]
+    out = {r.doc_id: r.text for r in corpus_pipeline.secrets_stage(spark, documents(spark, texts), "").collect()}
+    assert [out[i] for i in range(len(texts))] == masked
+
+
 # packing and token counts
 
 
