@@ -401,11 +401,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents with the least key of their group of near duplicates, all columns; of rows that share a key one.
 
-    An empty table gives none. Null and blank texts are one group.
+    Where rows share an id but not their text, all but those of one text have the hash of their text for a key. An
+    empty table gives none. Null and blank texts are one group.
     """
-    found = materialize(near_duplicates(docs, words, similarity), "groups")
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    keyed, asked = docs.withColumn("__key", row_key(docs)), docs
+    several = keyed.select("__key", text.alias("__text")).groupBy("__key").agg(F.min("__text").alias("__low"), F.max("__text").alias("__high"))
+    several = materialize(several.where("__low < __high").select("__key", "__low"), "several")
+    if not several.isEmpty():
+        keyed = keyed.join(several, "__key", "left").withColumn("__key", F.when(text != F.col("__low"), text).otherwise(F.col("__key"))).drop("__low")
+        asked = keyed.select(F.col("__key").alias("doc_id"), "text")
+    found = materialize(near_duplicates(asked, words, similarity), "groups")
     kept = found.where(F.col("key") == F.col("component")).groupBy(F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
-    out = docs.withColumn("__key", row_key(docs)).join(kept, "__key")
+    out = keyed.join(kept, "__key")
     once, more = out.where("__n = 1"), out.where("__n > 1")
     if not kept.where("__n > 1").isEmpty():
         once = once.unionByName(more.dropDuplicates(["__key"]))

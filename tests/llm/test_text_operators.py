@@ -360,6 +360,13 @@ def test_near_duplicates_of_odd_rows(spark, odd, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    texts = [" ".join(f"{side}{x}" for x in range(40)) for side in "abcd"]
+    rows = [(5, texts[0]), (5, texts[1]), (5, texts[1]), (7, texts[2]), (7, texts[0]), (7, texts[3]), (1, texts[3])]
+    kept = simhash.one_of_each(documents(spark, [t for _, t in rows], [i for i, _ in rows]))
+    assert sorted(r.text for r in kept.collect()) == texts
+
+
 # mixing
 
 
