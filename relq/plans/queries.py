@@ -504,6 +504,42 @@ def _():
     return combine("union", a, b).intersect(Nation.where(lambda n: n.n_regionkey == 1).select(k=lambda n: n.n_nationkey))
 
 
+# the same over whole tables, without bounds on ids or rows
+
+
+@registered("union_all_whole", "SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderstatus = 'F'")
+def _():
+    return Orders.query().union_all(Orders.where(lambda o: o.o_orderstatus == "F"))
+
+
+@registered("intersect_whole", "SELECT * FROM orders INTERSECT SELECT * FROM orders WHERE o_orderstatus = 'F'")
+def _():
+    return Orders.query().intersect(Orders.where(lambda o: o.o_orderstatus == "F"))
+
+
+@registered("except_whole", "SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0")
+def _():
+    return combine("except", Orders.select(k=lambda o: o.o_custkey), Customer.where(lambda c: c.c_acctbal > 0.0).select(k=lambda c: c.c_custkey))
+
+
+@registered("union_then_filter_whole", "SELECT * FROM (SELECT * FROM orders WHERE o_orderstatus = 'F' UNION SELECT * FROM orders WHERE o_orderstatus = 'P') WHERE o_totalprice > 250000")
+def _():
+    q = Orders.where(lambda o: o.o_orderstatus == "F").union(Orders.where(lambda o: o.o_orderstatus == "P"))
+    return q.where(lambda o: o.o_totalprice > 250000.0)
+
+
+@registered("union_intersect_left_whole", "(SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) INTERSECT SELECT n_nationkey FROM nation WHERE n_regionkey = 1")
+def _():
+    a, b = Customer.select(k=lambda c: c.c_nationkey), Supplier.select(k=lambda s: s.s_nationkey)
+    return combine("union", a, b).intersect(Nation.where(lambda n: n.n_regionkey == 1).select(k=lambda n: n.n_nationkey))
+
+
+@registered("cte_reading_from_whole", "WITH recent AS (SELECT * FROM orders WHERE o_orderstatus <> 'P') SELECT o_orderstatus, count(*) AS n FROM recent GROUP BY 1")
+def _():
+    recent = Orders.where(lambda o: o.o_orderstatus != "P").cte("recent")
+    return Orders.query().reading_from(recent).group_by(lambda o: o.o_orderstatus).select(lambda o: {"o_orderstatus": o.o_orderstatus, "n": count_rows()})
+
+
 # subqueries and common tables
 
 
