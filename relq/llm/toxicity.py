@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 
 from .common import held_out, learnable, materialize, small_batches, table
 
-#: Labelled rows learned from at most, terms of a lexicon at most, and the terms that a document has, about.
-TRAIN_ROWS, TERMS, DOC_TERMS = 20_000, 96, 300
+#: Labelled rows learned from at most, and the terms that a document has, about.
+TRAIN_ROWS, DOC_TERMS = 20_000, 300
 PREFIXES = range(3, 9)
 #: The most different words of one beginning that a term asks for.
 REPEATS = 4
@@ -136,7 +136,7 @@ def automaton(terms: list[str]) -> Automaton:
                     todo.append(to)
                 row.append(numbers[to])
         states[numbers[state]] = row
-    of = np.zeros(1 << 16, np.uint8)
+    of = np.zeros(1 << 16, np.uint16)
     for k, c in enumerate(letters):
         if ord(c) < 1 << 16:
             of[ord(c)] = k + 1
@@ -236,7 +236,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return own.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def lexicon(docs: DataFrame, most: int = TERMS) -> list[str]:
+def lexicon(docs: DataFrame) -> list[str]:
     """From labelled documents (text, label), the terms that tell toxic ones from others by their likelihood ratio,
     which must be one that chance gives to less than one of all terms."""
     total = {r.label: r.n for r in docs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -248,20 +248,18 @@ def lexicon(docs: DataFrame, most: int = TERMS) -> list[str]:
     both = F.col("pos") + F.col("neg")
     sure = 2 * (part(F.col("pos"), both * p / (p + n)) + part(F.col("neg"), both * n / (p + n)))
     telling = counts.where((F.col("pos") >= 3) & (F.col("pos") / p >= 20 * (F.col("neg") + 0.5) / n)).withColumn("sure", sure).where(F.col("sure") >= 2 * math.log(4 * DOC_TERMS * (p + n)))
-    found = telling.orderBy(F.desc("sure"), F.desc(F.length("term")), "term").limit(40 * most).select("term", "sure").collect()
-    return choose({r.term: r.sure for r in found}, most)
+    found = telling.select("term", "sure").collect()
+    return choose({r.term: r.sure for r in found})
 
 
-def choose(sure: dict[str, float], most: int = TERMS) -> list[str]:
-    """The surest terms, of which none is a beginning of another: whole words before the beginnings that are hardly
+def choose(sure: dict[str, float]) -> list[str]:
+    """Terms, the surest first, of which none is a beginning of another: whole words before the beginnings that are hardly
     surer, long beginnings before short ones."""
     chosen: list[str] = []
     for term in sorted(sure, key=lambda t: (-sure[t] * (1 if "*" in t else 1.02), -len(bare(t)), t)):
         own = bare(term)
         if not any(own.startswith(bare(c)) if "*" in c else "*" in term and bare(c).startswith(own) for c in chosen) and not ("*" in term and any(bare(c).startswith(own) for c in chosen)):
             chosen.append(term)
-        if len(chosen) == most:
-            break
     return chosen
 
 
@@ -303,7 +301,7 @@ def classify(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     replaces one of its name, others stay.
     """
     small_batches(docs.sparkSession)
-    known = docs.sparkSession.sparkContext.broadcast(model)  # at most TERMS terms
+    known = docs.sparkSession.sparkContext.broadcast(model)  # the terms that a bounded sample proves
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -447,6 +447,13 @@ def test_context_tells_quotation():
     assert plain[0] > 0 and plain[3] == 0 and quote[0] == 0 and quote[3] > 0
 
 
+def test_every_telling_term_is_kept(spark):
+    terms = [chr(97 + i // 26) + chr(97 + i % 26) + "qzkvx" for i in range(150)]
+    rows = [(" ".join(terms[(10 * d + k) % 150] for k in range(10)) + " calm", 1) for d in range(300)] + [(f"calm words{d}", 0) for d in range(300)]
+    found = toxicity.lexicon(spark.createDataFrame(rows, "text string, label int"))
+    assert set(found) == set(terms)
+
+
 def test_toxicity_learns(spark, sf, odd, empty):
     rng = np.random.default_rng(8)
     calm = [" ".join(f"w{x}" for x in rng.integers(0, 300, 40)) for _ in range(400)]
