@@ -70,19 +70,19 @@ class Compiler:
             df = self.grouped(df, q, scope)
         if isinstance(q.distinct_, tuple):
             df = self.first_of_each(df, q, scope)
+        names = [n for n, _ in selection]
         if q.distinct_ is True:
             df = df.select(*(scope.column(e).alias(n) for n, e in selection)).distinct()
-            names = {e.key(): n for n, e in selection}
-            terms = [placed(F.col(f"`{names[o.args[0].key()]}`"), o) for o in q.order if o.args[0].key() in names]
-            df = df.orderBy(*terms) if terms else df
-        else:
-            if q.order:
-                df = df.orderBy(*(placed(scope.column(o.args[0]), o) for o in q.order))
-            df = df.select(*(scope.column(e).alias(n) for n, e in selection))
-        if q.offset_:
-            df = df.offset(q.offset_)
-        if q.limit_ is not None:
-            df = df.limit(q.limit_)
+            held = {e.key(): n for n, e in selection}
+            terms = [placed(F.col(f"`{held[o.args[0].key()]}`"), o) for o in q.order if o.args[0].key() in held]
+            df = sliced(df.orderBy(*terms) if terms else df, q)
+        elif any(e.has_window() for _, e in selection):  # window functions see all rows: they come before the slice
+            df = df.select(*(scope.column(e).alias(n) for n, e in selection), *(scope.column(o.args[0]).alias(f"__o{i}") for i, o in enumerate(q.order)))
+            df = df.orderBy(*(placed(F.col(f"__o{i}"), o) for i, o in enumerate(q.order))) if q.order else df
+            df = sliced(df, q).select(*(F.col(f"`{n}`") for n in names))
+        else:  # the slice stands right above its sort: in a correlated subquery Spark takes the order from there only
+            df = df.orderBy(*(placed(scope.column(o.args[0]), o) for o in q.order)) if q.order else df
+            df = sliced(df, q).select(*(scope.column(e).alias(n) for n, e in selection))
         if q.preloads:
             from ..operators.preload import preloaded
 
@@ -118,9 +118,7 @@ class Compiler:
         df = {"union": lambda: a.union(b).distinct(), "union_all": lambda: a.union(b), "intersect": lambda: a.intersect(b), "except": lambda: a.subtract(b)}[c.op]()
         if c.order:
             df = df.orderBy(*(placed(F.col(f"`{n}`"), Expr("order", (None, desc, first))) for n, desc, first in c.order))
-        if c.offset_:
-            df = df.offset(c.offset_)
-        return df.limit(c.limit_) if c.limit_ is not None else df
+        return sliced(df, c)
 
     def raw(self, r: Raw) -> DataFrame:
         df = self.spark.sql(r.text, args=dict(r.args) or None, **{e.__table__: self.catalog.frame(e) for e in r.uses})
@@ -146,6 +144,11 @@ class Compiler:
         return self.spark.sql(text, anchor=self.query(r.anchor).select(*names), nodes=self.catalog.frame(r.source))
 
 
+def sliced(df: DataFrame, q: Any) -> DataFrame:
+    df = df.offset(q.offset_) if q.offset_ else df
+    return df if q.limit_ is None else df.limit(q.limit_)
+
+
 def text_of(e: Expr, names: dict[str, str]) -> str:
     """A link of a recursive step, of columns, comparisons and AND, as SQL."""
     if e.op == "column":

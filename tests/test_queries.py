@@ -55,3 +55,18 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
 def test_exists_becomes_a_semi_join(spark, sf):
     for name, kind in (("exists_correlated", "LeftSemi"), ("not_exists", "LeftAnti"), ("in_subquery", "LeftSemi"), ("exists_or", "ExistenceJoin")):
         assert kind in RUN[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_first_of_a_correlated_query_follows_its_order(spark, sf):
+    """The order must reach the plan's window: a sort below a shuffle decides nothing."""
+    from relq.functions import row_number
+    from relq.functions.expr import Window
+    from relq.plans.compiler import Compiler
+    from relq.plans.queries import catalog
+    from relq.sources.star import Orders
+
+    plan = RUN["scalar_first"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(o_custkey" in plan and "o_totalprice" in plan.split("windowspecdefinition", 1)[1].split("specifiedwindowframe")[0]
+    q = Orders.query().order_by(lambda o: o.o_orderkey.desc()).limit(3).select(lambda o: {"n": row_number().over(Window().order_by(o.o_orderkey))})
+    n = Compiler(catalog(spark, sf)).query(Orders.query()).count()
+    assert [r.n for r in Compiler(catalog(spark, sf)).query(q).collect()] == [n, n - 1, n - 2]
