@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, small_batches, table
+from .common import connected_components, free_names, materialize, small_batches, table
 
 SEED = 42
 #: Fingerprints from which the top of the tree is made: at least, at most, and for each shard in between.
@@ -215,8 +215,10 @@ def clusters(docs: DataFrame, shingle_words: int = 3, radius: int = 2) -> DataFr
 #: Of _sharing_prefixes: shingles at most that are ordered by the number of documents that have them.
 FREQUENT = 200_000
 #: Of near_duplicates: hash values of a signature, values of a band, bits within which fingerprints are linked, and the
-#: estimates below which a pair is none and from which it needs no exact check.
-SIGNATURE, BAND, RADIUS, LOW, HIGH = 120, 5, 3, 0.66, 0.93
+#: estimate below which a pair is none: one at 0.8 falls below it with a chance of 1 in 10^9.
+SIGNATURE, BAND, RADIUS, LOW = 120, 5, 3, 0.55
+#: Pairs of one document that a task should see together.
+HUB = 256
 _MIX = np.random.Generator(np.random.PCG64(9)).integers(1, 1 << 63, SIGNATURE, np.uint64) | np.uint64(1)
 
 
@@ -252,15 +254,23 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
     return own.mapInArrow(run, "key long, same long, fp long, sig binary, bands array<long>")
 
 
-def _compared(pairs: DataFrame, like, name: str = "like") -> DataFrame:
-    """Pairs (a, b, x, y) -> (a, b, like): what a function says of their binary sides."""
+def _compared(pairs: DataFrame, side: DataFrame, like, least: float) -> DataFrame:
+    """Those of the pairs (rep, other, parts) whose values in side (key, own) are so alike, with like.
+
+    other may be in a great many pairs: its value goes out parts times, and its pairs meet one of these each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [like(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.float64())], ["a", "b", name])
+            found = [like(x, y) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.float64())], ["rep", "other", "parts", "like"])
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, f"a long, b long, {name} double")
+    often = pairs.groupBy("other").agg(F.max("parts").alias("most"))
+    spread = side.select(F.col("key").alias("other"), F.col("own").alias("y")).join(often, "other")
+    spread = spread.select("other", "y", F.explode(F.sequence(F.lit(0), F.col("most") - 1)).alias("part"))
+    dealt = pairs.select("rep", "other", "parts", F.pmod(F.xxhash64("rep"), F.col("parts").cast("long")).cast("int").alias("part"))
+    own = dealt.join(spread, ["other", "part"]).join(side.select(F.col("key").alias("rep"), F.col("own").alias("x")), "rep")
+    return own.select("rep", "other", "parts", "x", "y").mapInArrow(run, "rep long, other long, parts int, like double").where(F.col("like") >= least)
 
 
 def estimate(x: bytes, y: bytes) -> float:
@@ -285,12 +295,6 @@ def _sets(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
     return materialize(texts.mapInArrow(run, "key long, own binary").dropDuplicates(["key"]), "sets")
 
 
-def _exact(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are so similar."""
-    x, y = sets.select(F.col("key").alias("a"), F.col("own").alias("x")), sets.select(F.col("key").alias("b"), F.col("own").alias("y"))
-    return materialize(_compared(pairs.join(x, "a").join(y, "b"), jaccard).where(F.col("like") >= similarity).select("a", "b"), "exact")
-
-
 def _uncovered(banded: DataFrame, ends: DataFrame, label: DataFrame) -> DataFrame:
     """(key, component) of the members of bands that hold several components and pairs not compared: of up to three
     members each pair has the least or the largest."""
@@ -301,23 +305,23 @@ def _uncovered(banded: DataFrame, ends: DataFrame, label: DataFrame) -> DataFram
     return own.join(mixed, ["n", "band"]).select(F.col("rep").alias("key"), "component").distinct()
 
 
-def prefix(own: np.ndarray, often: np.ndarray, rank: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
-    """The first shingles of a set, rare ones before the sorted often (by rank): as many as one must search of a set
-    that is the larger of a similar pair, and how many of them one must hold of the smaller."""
+def prefix(own: np.ndarray, often: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in the order of all sets: rare ones before the sorted often (by rank). As many as may
+    hold the first shingle that the set has in common with one so similar."""
     n, order = len(own), np.argsort(own, kind="stable")
     if len(often):
         at = np.minimum(np.searchsorted(often, own), len(often) - 1)
         order = np.lexsort((own, np.where(often[at] == own, rank[at], 0)))
-    least = lambda share: n - math.ceil(share * n - 1e-6) + 1
-    return own[order[: least(similarity)]], least(2 * similarity / (1 + similarity))
+    return own[order[: n - math.ceil(similarity * n - 1e-6) + 1]]
 
 
 def _sharing_prefixes(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of different components, among them each that is so similar.
+    """Pairs (rep, other, parts) of different components, among them each that is so similar.
 
-    Of similar sets, ordered alike, the larger has among its first shingles one of the first of the smaller. Shingles
-    of many documents come last, so that a passage which these share makes no pairs; FREQUENT bounds how many have
-    their place by count, which changes the cost and not the result.
+    All sets are ordered alike, shingles of many documents last; FREQUENT bounds how many have their place by count,
+    which changes the cost and not the result. At the first shingle that two sets share, each has in common with the
+    other no more than what is left of it: if that is too little for sets of their sizes, they are not so similar. The
+    test needs component, size and place only, so members of a component that are alike in these meet others as one.
     """
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,20 +339,21 @@ def _sharing_prefixes(rest: DataFrame, sets: DataFrame, similarity: float) -> Da
             for key, component, own in zip(*(c.to_pylist() for c in b.columns)):
                 own = np.frombuffer(own, np.uint64)
                 if len(own):
-                    found, held = prefix(own, *known.value, similarity)
+                    found = prefix(own, *known.value, similarity)
                     each = lambda v: pa.array(np.full(len(found), v, np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), each(component), each(key), each(len(own)), pa.array(np.arange(len(found)) < held)], ["shingle", "component", "key", "size", "held"])
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), each(component), each(key), each(len(own)), pa.array(np.arange(len(found)))], ["shingle", "component", "key", "size", "place"])
 
-    posted = rest.join(sets, "key").select("key", "component", "own").mapInArrow(run, "shingle long, component long, key long, size long, held boolean")
+    posted = rest.join(sets, "key").select("key", "component", "own").mapInArrow(run, "shingle long, component long, key long, size long, place long")
     posted = materialize(posted, "posted")
-    mixed = posted.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("held").alias("held")).where("lo < hi and held").select("shingle")
-    lists = posted.join(mixed, "shingle").groupBy("shingle", "component").agg(F.collect_list(F.struct("key", "size", "held")).alias("docs"))
-    lists = materialize(lists, "lists")
-    two = lists.alias("l").join(lists.alias("r"), F.expr("l.shingle = r.shingle and l.component < r.component"))
-    two = two.select(F.explode("l.docs").alias("x"), F.col("r.docs").alias("docs")).select("x", F.explode("docs").alias("y"))
-    near = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-6
-    two = two.where(near & F.expr("(x.held and x.size <= y.size) or (y.held and y.size <= x.size)"))
-    return materialize(two.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct(), "pairs")
+    mixed = posted.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
+    posted = materialize(posted.join(mixed, "shingle"), "mixed")
+    kinds = posted.select("shingle", "component", "size", "place").distinct()
+    one = lambda df, side: df.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in df.columns if c != "shingle"))
+    share = similarity / (1 + similarity)
+    enough = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) >= share * (F.col("size_a") + F.col("size_b")) - 1e-6
+    met = materialize(one(kinds, "a").join(one(kinds, "b"), "shingle").where((F.col("component_a") < F.col("component_b")) & enough), "met")
+    met = met.join(one(posted, "a"), ["shingle", "component_a", "size_a", "place_a"]).join(one(posted, "b"), ["shingle", "component_b", "size_b", "place_b"])
+    return materialize(met.select(F.col("key_a").alias("rep"), F.col("key_b").alias("other"), F.lit(1).alias("parts")).distinct(), "pairs")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -357,37 +362,42 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     SimHash fingerprints within a few bits are candidates, through the vantage-point tree; but pairs at 0.8 differ in
     ten bits at the median and up to eighteen, a radius at which no tree of 64-bit fingerprints prunes, so pairs that
     share a band of their MinHash signatures are candidates too: each document with the least and the largest key of
-    its band. Texts with equal shingles are one before that. The signatures' estimate decides where it is far from the
-    threshold; between, pairs not linked otherwise are compared exactly. Members of bands that hold several components
-    then are joined exactly by their rarest shingles, so that no pair within a band is left out. Documents without
-    words are copies of each other. key is row_key's; component is the least key.
+    its band. Texts with equal shingles are one before that. Signatures leave out pairs far below the threshold; a pair
+    is a link only where its whole sets are so similar, and each is compared unless others link its documents already:
+    first each document's likeliest pair, then those that are still open. Members of bands that hold several components
+    then are joined exactly by their rarest shingles, so that no pair within a band is left out.
+
+    Null, empty and blank texts have no shingles and are copies of each other; texts of fewer words have one shingle, all
+    of them. Very long texts are compared whole. Rows that share a key are one document to this function. An empty table
+    gives no rows; columns other than doc_id and text are ignored. key is row_key's; component is the least key.
     """
     own = materialize(_sketches(docs, words), "sketches")
     one = materialize(own.groupBy("same").agg(F.min("key").alias("rep"), F.any_value("fp").alias("fp"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")), "distinct")
     banded = one.select("rep", F.posexplode("bands").alias("n", "band"))
     ends = banded.groupBy("n", "band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high")
     ends = materialize(ends, "bands")
-    shared = banded.join(ends.drop("members"), ["n", "band"]).select("rep", F.explode(F.array("low", "high")).alias("other"))
-    least = one.groupBy("fp").agg(F.min("rep").alias("rep"))
+    parts = lambda members: F.ceil(members / HUB).cast("int").alias("parts")
+    shared = banded.join(ends, ["n", "band"]).select("rep", F.explode(F.array("low", "high")).alias("other"), parts(F.col("members")))
+    least = one.groupBy("fp").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("members"))
     tree = links(least.select("fp"), RADIUS)
-    close = tree.join(least.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(least.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
-    same_fp = one.join(least.select("fp", F.col("rep").alias("other")), "fp").select("rep", "other")
-    both = shared.unionByName(same_fp).unionByName(close.select(F.col("ra").alias("rep"), F.col("rb").alias("other"))).where("rep != other")
-    pairs = both.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-    x, y = one.select(F.col("rep").alias("a"), F.col("sig").alias("x")), one.select(F.col("rep").alias("b"), F.col("sig").alias("y"))
-    rated = materialize(_compared(pairs.join(x, "a").join(y, "b"), estimate).where(F.col("like") >= LOW), "rated")
-    sure = rated.where(F.col("like") >= HIGH).select("a", "b")
-    label = materialize(connected_components(sure), "sure")
+    close = tree.join(least.select(F.col("fp").alias("a"), F.col("rep")), "a").join(least.select(F.col("fp").alias("b"), F.col("rep").alias("other")), "b")
+    same_fp = one.join(least.select("fp", F.col("rep").alias("other"), "members"), "fp").select("rep", "other", parts(F.col("members")))
+    both = shared.unionByName(same_fp).unionByName(close.select("rep", "other", F.lit(1).alias("parts"))).where("rep != other")
+    pairs = both.groupBy("rep", "other").agg(F.max("parts").alias("parts"))
+    rated = materialize(_compared(materialize(pairs, "candidates"), one.select(F.col("rep").alias("key"), F.col("sig").alias("own")), estimate, LOW), "rated")
+    sets = _sets(docs, rated.select(F.explode(F.array("rep", "other")).alias("key")).distinct(), words)
+    exact = lambda found, sets: materialize(_compared(found, sets, jaccard, similarity).select(F.col("rep").alias("a"), F.col("other").alias("b")), "exact")
+    best = rated.groupBy("rep").agg(F.max(F.struct("like", "other", "parts")).alias("best")).select("rep", "best.other", "best.parts")
+    likeliest = exact(materialize(best, "best"), sets)
+    label = materialize(connected_components(likeliest), "first")
     of = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    open_ = rated.where(F.col("like") < HIGH).join(of("a"), "a", "left").join(of("b"), "b", "left")
-    open_ = materialize(open_.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "open")
-    sets = _sets(docs, open_.select(F.explode(F.array("a", "b")).alias("key")).distinct(), words)
-    exact = _exact(open_, sets, similarity)
-    label = materialize(connected_components(sure.unionByName(exact)), "linked")
+    open_ = rated.join(of("rep"), "rep", "left").join(of("other"), "other", "left")
+    open_ = materialize(open_.where(F.coalesce("crep", "rep") != F.coalesce("cother", "other")).select("rep", "other", "parts"), "open")
+    label = materialize(connected_components(likeliest.unionByName(exact(open_, sets))), "linked")
     rest = materialize(_uncovered(banded, ends, label), "rest")
     if not rest.isEmpty():
         sets = _sets(docs, rest.select("key"), words)
-        more = _exact(_sharing_prefixes(rest, sets, similarity), sets, similarity)
+        more = exact(_sharing_prefixes(rest, sets, similarity), sets)
         # a component that the first links made is one node here
         of = lambda side: rest.select(F.col("key").alias(side), F.col("component").alias(f"c{side}"))
         joined = materialize(connected_components(more.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "joined")
@@ -399,25 +409,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents with the least key of their group of near duplicates, all columns; of rows that share a key one.
+    """The documents with the least key of their group of near duplicates, all columns, whatever their names.
 
-    Where rows share an id but not their text, all but those of one text have the hash of their text for a key. An
-    empty table gives none. Null and blank texts are one group.
+    Of rows that share id and text one stays, any of them where their other columns differ. Where rows share an id but
+    not their text, all but those of one text have the hash of their text for a key. Null and blank texts are one group;
+    null ids are known by the hash of their text; very long texts are compared whole; an empty table gives none.
     """
     text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keyed, asked = docs.withColumn("__key", row_key(docs)), docs
-    several = keyed.select("__key", text.alias("__text")).groupBy("__key").agg(F.min("__text").alias("__low"), F.max("__text").alias("__high"))
-    several = materialize(several.where("__low < __high").select("__key", "__low"), "several")
+    key, count, low = free_names(docs, "__key", "__n", "__low")
+    keyed = docs.withColumn(key, row_key(docs))
+    asked = keyed.select(F.col(key).alias("doc_id"), "text")
+    several = keyed.select(F.col(key).alias("key"), text.alias("text")).groupBy("key").agg(F.min("text").alias("low"), F.max("text").alias("high"))
+    several = materialize(several.where("low < high").select(F.col("key").alias(key), F.col("low").alias(low)), "several")
     if not several.isEmpty():
-        keyed = keyed.join(several, "__key", "left").withColumn("__key", F.when(text != F.col("__low"), text).otherwise(F.col("__key"))).drop("__low")
-        asked = keyed.select(F.col("__key").alias("doc_id"), "text")
+        keyed = keyed.join(several, key, "left").withColumn(key, F.when(text != F.col(low), text).otherwise(F.col(key))).drop(low)
+        asked = keyed.select(F.col(key).alias("doc_id"), "text")
     found = materialize(near_duplicates(asked, words, similarity), "groups")
-    kept = found.where(F.col("key") == F.col("component")).groupBy(F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
-    out = keyed.join(kept, "__key")
-    once, more = out.where("__n = 1"), out.where("__n > 1")
-    if not kept.where("__n > 1").isEmpty():
-        once = once.unionByName(more.dropDuplicates(["__key"]))
-    return once.drop("__key", "__n")
+    kept = found.where(F.col("key") == F.col("component")).groupBy(F.col("key").alias(key)).agg(F.count(F.lit(1)).alias(count))
+    out = keyed.join(kept, key)
+    once, more = out.where(F.col(count) == 1), out.where(F.col(count) > 1)
+    if not kept.where(F.col(count) > 1).isEmpty():
+        once = once.unionByName(more.dropDuplicates([key]))
+    return once.drop(key, count)
 
 
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
