@@ -1,15 +1,17 @@
 """Toxicity: a learned lexicon, found with misspellings, weighed by context.
 
 The lexicon is learned from a bounded number of labelled rows: words and word beginnings whose share of documents is
-far higher among toxic ones. Its trie is intersected with a Levenshtein automaton and made deterministic, so that a
-word is read once, whatever the number of terms; words are read side by side, one character at a time. Each hit has
-a score from the window around it: inside quotation marks or after a word of reporting it counts as a quotation.
+far higher among toxic ones. Its trie is intersected with a Levenshtein automaton and made deterministic as far as the
+texts need it, so that a word is read once, whatever the number of terms; words are read side by side, one character at
+a time. Each hit has a score from the window around it: inside quotation marks or after a word of reporting it counts
+as a quotation.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,8 +30,12 @@ TRAIN_ROWS, DOC_TERMS = 20_000, 300
 PREFIXES = range(3, 9)
 #: The most different words of one beginning that a term asks for.
 REPEATS = 4
+#: Different pairs of neighbours that a term's words must have.
+NEIGHBOURS = 3
 #: Code points on either side of a hit that tell a quotation.
 WINDOW = 60
+#: Words read side by side, and entries of the automaton's table that a worker keeps.
+READ, TABLE = 1 << 14, 1 << 23
 #: Marks of quotation, and words of reporting.
 QUOTES = "\"“”„«»‘’"
 REPORTING = re.compile(r"\b(?:said|says|wrote|called|calling|quote|quoted|word|term|sagte|schrieb|nannte|dijo|escribió|llamó|dit|écrit|appelé)\b")
@@ -51,126 +57,152 @@ def needed(term: str) -> int:
     return int(term.partition("*")[2] or 1)
 
 
-@dataclass
 class Automaton:
-    """step[state, class] -> state; 0 is dead, 1 the start. hit: how a word that ends here matches; term: which term."""
-
-    classes: np.ndarray
-    step: np.ndarray
-    hit: np.ndarray
-    term: np.ndarray
-    needed: list[int]
-
-
-def automaton(terms: list[str]) -> Automaton:
-    children: list[dict[str, int]] = [{}]
-    ends: list[int | None] = [None]
-    begins: list[int | None] = [None]
-    most = [0]
-    for number, term in enumerate(terms):
-        node = 0
-        for c in bare(term):
-            if c not in children[node]:
-                children[node][c] = len(children)
-                children.append({})
-                ends.append(None)
-                begins.append(None)
-                most.append(0)
-            most[node] = max(most[node], allowed(term))
-            node = children[node][c]
-        most[node] = max(most[node], allowed(term))
-        (begins if "*" in term else ends)[node] = number
-    letters = sorted({c for t in terms for c in bare(t)})
-
-    def closed(nodes: dict[int, int]) -> frozenset:
+    """The lexicon's trie met by the edits that its terms allow, as a table of states.
+
+    step[state, class] -> state: 0 is dead, 1 the start, -1 not known yet. hit: how a word that ends here matches; term:
+    which term. States are made when a text first needs them; a table over TABLE entries is begun anew. Only the terms
+    are pickled.
+    """
+
+    def __init__(self, terms: list[str]) -> None:
+        self.terms, self.needed = terms, [needed(t) for t in terms]
+        self.children: list[dict[str, int]] = [{}]
+        self.ends: list[int | None] = [None]
+        self.begins: list[int | None] = [None]
+        self.most = [0]  # edits of any term below
+        for number, term in enumerate(terms):
+            node = 0
+            for c in bare(term):
+                if c not in self.children[node]:
+                    self.children[node][c] = len(self.children)
+                    self.children.append({})
+                    self.ends.append(None)
+                    self.begins.append(None)
+                    self.most.append(0)
+                self.most[node] = max(self.most[node], allowed(term))
+                node = self.children[node][c]
+            self.most[node] = max(self.most[node], allowed(term))
+            (self.begins if "*" in term else self.ends)[node] = number
+        self.letters = [None, *sorted({c for t in terms for c in bare(t)})]
+        self.classes = np.zeros(sys.maxunicode + 1, np.int32)
+        self.classes[[ord(c) for c in self.letters[1:]]] = np.arange(1, len(self.letters))
+        self.begin_anew()
+
+    def __reduce__(self):
+        return Automaton, (self.terms,)
+
+    def begin_anew(self) -> None:
+        first = self._closed({0: 0})
+        self.states: list[frozenset | None] = [None, first]
+        self.numbers: dict = {first: 1}
+        self.step = np.full((64, len(self.letters)), -1, np.int32)
+        self.step[0] = 0
+        self.hit, self.term = np.zeros(64, np.int8), np.full(64, -1, np.int32)
+
+    def _closed(self, nodes: dict[int, int]) -> frozenset:
         todo = list(nodes.items())
         while todo:
             node, e = todo.pop()
             if e == nodes[node]:
-                for child in children[node].values():  # a letter left out
-                    if e + 1 <= most[child] and e + 1 < nodes.get(child, 9):
+                for child in self.children[node].values():  # a letter left out
+                    if e + 1 <= self.most[child] and e + 1 < nodes.get(child, 9):
                         nodes[child] = e + 1
                         todo.append((child, e + 1))
         return frozenset(nodes.items())
 
-    def move(state: frozenset, c: str | None) -> frozenset | int:
+    def _moved(self, state: frozenset, c: str | None) -> frozenset | int:
         nodes: dict[int, int] = {}
 
         def put(node: int, e: int) -> None:
-            if e <= most[node] and e < nodes.get(node, 9):
+            if e <= self.most[node] and e < nodes.get(node, 9):
                 nodes[node] = e
 
         for node, e in state:
             put(node, e + 1)  # a letter put in
-            for letter, child in children[node].items():
+            for letter, child in self.children[node].items():
                 put(child, e if letter == c else e + 1)
-                if letter == c and e == 0 and begins[child] is not None:
-                    return begins[child]
-        return closed(nodes)
-
-    first = closed({0: 0})
-    numbers, rows, hit, term = {first: 1}, [[0] * (len(letters) + 1)], [0, 0], [-1, -1]
-    made: dict[int, int] = {}
-    todo = [first]
-    states: list[list[int]] = [[0] * (len(letters) + 1), []]
-    for state in todo:
-        row = []
-        for c in (None, *letters):
-            to = move(state, c)
-            if isinstance(to, int):  # the beginning of a word: whatever follows
-                if to not in made:
-                    made[to] = len(states)
-                    states.append([len(states)] * (len(letters) + 1))
-                    hit.append(EXACT)
-                    term.append(to)
-                row.append(made[to])
-            elif not to:
-                row.append(0)
-            else:
-                if to not in numbers:
-                    numbers[to] = len(states)
-                    states.append([])
-                    best = min(((e, ends[n]) for n, e in to if ends[n] is not None and e <= allowed(terms[ends[n]])), default=None)
-                    hit.append(0 if best is None else best[0] + EXACT)
-                    term.append(-1 if best is None else best[1])
-                    todo.append(to)
-                row.append(numbers[to])
-        states[numbers[state]] = row
-    of = np.zeros(1 << 16, np.uint16)
-    for k, c in enumerate(letters):
-        if ord(c) < 1 << 16:
-            of[ord(c)] = k + 1
-    return Automaton(of, np.array(states, np.int32), np.array(hit, np.int8), np.array(term, np.int32), [needed(t) for t in terms])
+                if letter == c and e == 0 and self.begins[child] is not None:
+                    return self.begins[child]
+        return self._closed(nodes)
+
+    def _number(self, to: frozenset | int) -> int:
+        if to in self.numbers:
+            return self.numbers[to]
+        own = self.numbers[to] = len(self.states)
+        self.states.append(None if isinstance(to, int) else to)
+        if own == len(self.step):
+            self.step = np.vstack([self.step, np.full_like(self.step, -1)])
+            self.hit, self.term = np.append(self.hit, np.zeros_like(self.hit)), np.append(self.term, np.full_like(self.term, -1))
+        if isinstance(to, int):  # the beginning of a word: whatever follows
+            self.step[own], self.hit[own], self.term[own] = own, EXACT, to
+        else:
+            best = min(((e, self.ends[n]) for n, e in to if self.ends[n] is not None and e <= allowed(self.terms[self.ends[n]])), default=None)
+            if best is not None:
+                self.hit[own], self.term[own] = best[0] + EXACT, best[1]
+        return own
+
+    def after(self, state: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """The states that follow, made where they are not known."""
+        to = self.step[state, kinds]
+        missing = to < 0
+        if missing.any():
+            for s, k in sorted(set(zip(state[missing].tolist(), kinds[missing].tolist()))):
+                made = self._moved(self.states[s], self.letters[k])
+                number = self._number(made) if isinstance(made, int) or made else 0
+                self.step[s, k] = number
+            to = self.step[state, kinds]
+        return to
 
 
 @lru_cache(1)
 def word_letters() -> np.ndarray:
-    return np.array([chr(c).isalnum() for c in range(1 << 16)])
+    return np.array([chr(c).isalnum() for c in range(sys.maxunicode + 1)])
 
 
 def hits(own: Automaton, text: str) -> tuple[int, list[tuple[int, int, int, int]]]:
     """The number of words of a lower-case text, and its hits: (start, end, kind, term)."""
-    cps = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
+    cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     inside = np.concatenate(([0], word_letters()[cps].view(np.int8), [0]))
     turns = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = turns[::2], turns[1::2]
-    kinds, state, at, live, found = own.classes[cps], np.ones(len(starts), np.int32), starts.copy(), np.arange(len(starts)), []
-    while len(live):
-        state = own.step[state, kinds[at]]
-        at = at + 1
-        over = at == ends[live]
-        good = over & (own.hit[state] > 0)
-        found += [(int(starts[i]), int(ends[i]), int(own.hit[s]), int(own.term[s])) for i, s in zip(live[good], state[good])]
-        keep = ~over & (state > 0)
-        live, state, at = live[keep], state[keep], at[keep]
+    kinds, found = own.classes[cps], []
+    for k in range(0, len(starts), READ):
+        if own.step.size > TABLE:
+            own.begin_anew()
+        live, at = np.arange(k, min(k + READ, len(starts))), starts[k : k + READ].copy()
+        state = np.ones(len(live), np.int32)
+        while len(live):
+            state = own.after(state, kinds[at])
+            at = at + 1
+            over = at == ends[live]
+            good = over & (own.hit[state] > 0)
+            found += [(int(starts[i]), int(ends[i]), int(own.hit[s]), int(own.term[s])) for i, s in zip(live[good], state[good])]
+            keep = ~over & (state > 0)
+            live, state, at = live[keep], state[keep], at[keep]
     return len(starts), found
 
 
+def _marks(text: str, low: int, high: int) -> Iterator[tuple[bool, bool]]:
+    """(may open, may close) of each quotation mark of a part of a text. One between letters is an apostrophe and none;
+    one opens before what is no space and closes after it, and with spaces on both sides may do either."""
+    for i in range(low, high):
+        if text[i] in QUOTES:
+            left, right = text[i - 1 : i] or " ", text[i + 1 : i + 2] or " "
+            if not (left.isalnum() and right.isalnum()):
+                free = left.isspace() and right.isspace()
+                yield free or not right.isspace() and not left.isalnum(), free or not left.isspace() and not right.isalnum()
+
+
 def quoted(text: str, start: int, end: int) -> bool:
-    before, after = text[max(0, start - WINDOW) : start], text[end : end + WINDOW]
-    before, after = before.rpartition("\n")[2], after.partition("\n")[0]
-    marks = [any(q in side for q in QUOTES) for side in (before, after)]
-    return all(marks) or bool(REPORTING.search(before)) and any(marks)
+    """Whether the nearest marks within the window, on the line, open before and close after; or one of both does and a
+    word of reporting stands before."""
+    low = max(start - WINDOW, text.rfind("\n", 0, start) + 1, 0)
+    high = text.find("\n", end, end + WINDOW)
+    high = min(end + WINDOW, len(text)) if high < 0 else high
+    opened = next((x[0] for x in reversed(list(_marks(text, low, start)))), False)
+    closed = next((x[1] for x in _marks(text, end, high)), False)
+    return opened and closed or (opened or closed) and bool(REPORTING.search(text, low, start))
 
 
 MEASURES = ("exact", "near", "far", "quoted", "distinct", "density")
@@ -221,7 +253,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             for text, label in zip(*(c.to_pylist() for c in b.columns)):
-                words = {w for w in WORD.findall((text or "").lower()) if len(w) <= 40}
+                words = set(WORD.findall((text or "").lower()))
                 begins = Counter(w[:n] for w in words for n in PREFIXES if len(w) >= n)
                 for w in words:
                     seen[w][label == 0] += 1
@@ -236,9 +268,11 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return own.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def lexicon(docs: DataFrame) -> list[str]:
+def lexicon(docs: DataFrame, neighbours: int = 1) -> list[str]:
     """From labelled documents (text, label), the terms that tell toxic ones from others by their likelihood ratio,
-    which must be one that chance gives to less than one of all terms."""
+    which must be one that chance gives to less than one of all terms. Terms whose words have fewer different pairs of
+    neighbours in toxic documents than asked for are left out, and the others' ratio counts these: copies of a passage
+    that differ elsewhere are no proof of their own."""
     total = {r.label: r.n for r in docs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     p, n = float(total.get(1, 0)), float(total.get(0, 0))
     if not p or not n:
@@ -247,9 +281,29 @@ def lexicon(docs: DataFrame) -> list[str]:
     part = lambda c, e: F.when(c > 0, c * F.log(c / e)).otherwise(0.0)
     both = F.col("pos") + F.col("neg")
     sure = 2 * (part(F.col("pos"), both * p / (p + n)) + part(F.col("neg"), both * n / (p + n)))
-    telling = counts.where((F.col("pos") >= 3) & (F.col("pos") / p >= 20 * (F.col("neg") + 0.5) / n)).withColumn("sure", sure).where(F.col("sure") >= 2 * math.log(4 * DOC_TERMS * (p + n)))
-    found = telling.select("term", "sure").collect()
-    return choose({r.term: r.sure for r in found})
+    least = 2 * math.log(4 * DOC_TERMS * (p + n))
+    telling = counts.where((F.col("pos") >= 3) & (F.col("pos") / p >= 20 * (F.col("neg") + 0.5) / n)).withColumn("sure", sure).where(F.col("sure") >= least)
+    found = telling.select("term", "pos", "sure").collect()
+    known = contexts(docs.where("label = 1"), [r.term for r in found]) if neighbours > 1 else {r.term: r.pos for r in found}
+    return choose({r.term: own for r in found if known[r.term] >= neighbours and (own := r.sure * min(1.0, known[r.term] / r.pos)) >= least})
+
+
+def contexts(docs: DataFrame, terms: list[str]) -> dict[str, int]:
+    """How many different pairs of neighbours the terms' words have in the texts."""
+    asked = docs.sparkSession.sparkContext.broadcast(frozenset(bare(t) + "*" * ("*" in t) for t in terms))  # terms of a bounded sample
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = set()
+            for text in b.column(0).to_pylist():
+                words = ["", *WORD.findall((text or "").lower()), ""]
+                for before, word, after in zip(words, words[1:], words[2:]):
+                    found |= {(t, before, after) for t in (word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n)) if t in asked.value}
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*found) if found else [()] * 3)], ["term", "before", "after"])
+
+    rows = docs.select("text").mapInArrow(run, "term string, before string, after string").distinct().groupBy("term").count().collect()
+    of = {r.term: r["count"] for r in rows}
+    return {t: of.get(bare(t) + "*" * ("*" in t), 0) for t in terms}
 
 
 def choose(sure: dict[str, float]) -> list[str]:
@@ -283,7 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: in
     sample = materialize(learnable(labels, label, train_rows), "sample")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     own = materialize(own, "sample-texts")
-    reader = automaton(lexicon(own.select("text", "label").distinct()))  # copies of a text tell no more than one
+    reader = Automaton(lexicon(own.select("text", "label").distinct(), NEIGHBOURS))  # copies of a text tell no more than one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -423,7 +423,7 @@ def distance(a, b):
 
 def test_automaton_is_edit_distance():
     terms = ["idiot", "moron", "disgusting", "scum", "vequ*1", "worthless"]
-    own, rng = toxicity.automaton(terms), np.random.default_rng(7)
+    own, rng = toxicity.Automaton(terms), np.random.default_rng(7)
     words = []
     for t in terms:
         for _ in range(120):
@@ -444,11 +444,50 @@ def test_automaton_is_edit_distance():
 
 
 def test_context_tells_quotation():
-    own = toxicity.automaton(["idiot"])
+    own = toxicity.Automaton(["idiot"])
     plain, quote = toxicity.measures(own, "you are an idiot and so on"), toxicity.measures(own, 'she said "what an idiot" to them')
     assert plain[0] > 0 and plain[3] == 0 and quote[0] == 0 and quote[3] > 0
 
 
+def test_apostrophes_are_no_quotation():
+    own = toxicity.Automaton(["idiot"])
+    for text, quote in (("You’re an idiot, aren’t you", False), ("‘you idiot’ it read", True), ("« idiot » dit-il", True), ("„Du idiot“ sagte sie", True), ('"a" idiot "b"', False), ("don't, idiot, don't", False)):
+        m = toxicity.measures(own, text)
+        assert (m[3] > 0, m[0] > 0) == (quote, not quote), text
+
+
+def test_lexicon_of_many_letters():
+    """Over 255 letters, letters beyond the first plane, and a table that is begun anew."""
+    terms = [chr(0x4E00 + 5 * k) + chr(0x4E01 + 5 * k) + chr(0x4E02 + 5 * k) + "字典" for k in range(200)] + ["😀a😀b😀", "𠀀𠀁𠀂𠀃𠀄"]
+    own = toxicity.Automaton(terms)
+    assert len(own.letters) > 256
+    words = [t[:2] + "x" + t[2:] for t in terms]
+    found = [toxicity.hits(own, " ".join([*terms, *words]))[1] for _ in range(2)]
+    assert found[0] == found[1]
+    kinds = {text: kind for a, b, kind, term in found[0] for text in [" ".join([*terms, *words])[a:b]]}
+    held = [t for t in terms if t.isalnum()]
+    assert all(kinds[t] == toxicity.EXACT and kinds[t[:2] + "x" + t[2:]] == toxicity.NEAR for t in held) and len(held) == 201
+
+
+def test_copies_of_a_passage_are_one_proof(spark):
+    rng = np.random.default_rng(3)
+    calm = [" ".join(f"w{x}" for x in rng.integers(0, 300, 30)) for _ in range(400)]
+    rows = [(f"{t} qzloser w{i % 7}", 1) if i % 4 == 0 else (t, 0) for i, t in enumerate(calm)]
+    rows += [(f"a passage with zunkword in it w{i}", 1) for i in range(60)]  # differ at the end
+    made = spark.createDataFrame(rows, "text string, label int")
+    every, proven = toxicity.lexicon(made), toxicity.lexicon(made, toxicity.NEIGHBOURS)
+    assert {"qzloser", "zunkword"} <= set(every) and "qzloser" in proven and "zunkword" not in proven
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """op7 on whole tables, against labels it never learned from."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    rows = toxicity.op7_toxicity(spark, sf).join(labels, "doc_id").where("held_out and toxic is not null").collect()
+    toxic, clean = ([r.predicted for r in rows if r.toxic == k] for k in (1, 0))
+    assert len(clean) >= 50 and sum(clean) == 0 and sum(toxic) >= 0.6 * len(toxic) > 0
+
+
 def test_every_telling_term_is_kept(spark):
     terms = [chr(97 + i // 26) + chr(97 + i % 26) + "qzkvx" for i in range(150)]
     rows = [(" ".join(terms[(10 * d + k) % 150] for k in range(10)) + " calm", 1) for d in range(300)] + [(f"calm words{d}", 0) for d in range(300)]
