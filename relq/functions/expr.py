@@ -157,9 +157,10 @@ class Expr:
     def has_suffix(self, text: str, any_case: bool = False) -> Expr:
         return self._literal_match("suffix", text, any_case)
 
-    # arithmetic, in the type of the left side
+    # arithmetic, in the wider of both sides' types; a constant takes the column's where it is of its kind
     def _math(self, op: str, other: Any) -> Expr:
-        return Expr("math", (op, self, expr(other)), self.type)
+        other = expr(other)
+        return Expr("math", (op, self, other), wider(self, other))
 
     def __add__(self, other: Any) -> Expr:
         return self._math("+", other)
@@ -256,6 +257,21 @@ class Expr:
         return f"{self.op}({', '.join(map(repr, self.args))})"
 
 
+def wider(a: Expr, b: Expr) -> T.DataType | None:
+    """The type of arithmetic on both; None, Spark's own choice, where one is not known."""
+    if a.type is None or b.type is None:
+        return a.type if b.op == "literal" else None
+    whole, broken = INTEGERS, (T.FloatType, T.DoubleType)
+    for kinds in (whole, broken):
+        if isinstance(a.type, kinds) and isinstance(b.type, kinds):
+            if b.op == "literal" or a.op == "literal":
+                return a.type if b.op == "literal" else b.type
+            return max((a.type, b.type), key=lambda t: kinds.index(type(t)))
+    if isinstance(a.type, broken) or isinstance(b.type, broken):
+        return T.DoubleType()
+    return b.type if isinstance(a.type, whole) else a.type
+
+
 def ordered(e: Expr) -> Expr:
     return e if e.op == "order" else e.asc()
 

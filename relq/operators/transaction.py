@@ -15,6 +15,7 @@ import random
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
@@ -29,21 +30,34 @@ from .query import Query
 from .repo import Diagnostics, Repo
 
 
+#: Folders of a table from which an insert writes it anew as one.
+COMPACT = 64
+
+
 class Session:
     """Reads and writes of one transaction."""
 
     def __init__(self, store: Store, entities: list[type[Entity]], observers: tuple[Callable[[str], None], ...] = ()) -> None:
         self.store, self.entities, self.observers = store, {e.__table__: e for e in entities}, observers
         self.versions = {n: store.version(n) for n in self.entities}
-        self.overlay: dict[str, str] = {}
+        self.overlay: dict[str, list[str]] = {}
+        self.made: list[tuple[type[Entity], str]] = []
         self.checked: set[str] = set()
-        self.failed = False
+        self.failed = self.published = False
         self.now = dt.datetime.now(dt.timezone.utc)
 
     # reading
     def rows(self, entity: type[Entity]) -> DataFrame:
         name = entity.__table__
-        return self.store.staged(entity, self.overlay[name]) if name in self.overlay else self.store.read(entity, self.versions[name])
+        return self.store.staged(entity, self._folders(name))
+
+    def _folders(self, name: str) -> list[str]:
+        return self.overlay[name] if name in self.overlay else self.store.folders(name, self.versions[name])
+
+    def _stage(self, entity: type[Entity], df: DataFrame) -> list[str]:
+        name = self.store.stage(entity, df)
+        self.made.append((entity, name))
+        return [name]
 
     @property
     def repo(self) -> Repo:
@@ -63,7 +77,7 @@ class Session:
     def _put(self, entity: type[Entity], after: DataFrame, hit: DataFrame) -> int:
         n = hit.count()
         if n:
-            self.overlay[entity.__table__] = self.store.stage(entity, after)
+            self.overlay[entity.__table__] = self._stage(entity, after)
         return n
 
     def _batch(self, entity: type[Entity], rows: list[dict] | DataFrame) -> DataFrame:
@@ -87,21 +101,30 @@ class Session:
         return self.store.spark.createDataFrame([tuple(r.get(n) for n in fields) for r in rows], schema)
 
     def insert(self, entity: type[Entity], rows: list[dict] | DataFrame, on_conflict: write.OnConflict | None = None) -> DataFrame:
-        """Adds rows, numbering generated columns; gives the stored rows that were inserted or updated."""
-        present = self.rows(entity)
+        """Adds rows, numbering generated columns; gives the stored rows that were inserted or updated.
+
+        Without a conflict clause the rows are written once, beside the table's: their keys are looked up among the
+        stored ones, and nothing else is read or written again, until a table has COMPACT folders.
+        """
+        present, name = self.rows(entity), entity.__table__
         batch = write.generated(entity, self._batch(entity, rows), present)
-        if isinstance(rows, DataFrame):  # numbered once
-            batch = self.store.staged(entity, self.store.stage(entity, batch))
-        if on_conflict is None:
-            after, hit = present.unionByName(batch), batch
-            key = entity.primary_key()
-            if key and not after.groupBy(*key).count().where("count > 1").isEmpty():
-                raise RelqError(None, f"a second row of the key {', '.join(key)}")
-        else:
+        if on_conflict is not None:
+            if isinstance(rows, DataFrame):  # numbered once
+                batch = self.store.staged(entity, self._stage(entity, batch))
             after, hit = write.upserted(self._compiler(), present, entity, batch, on_conflict)
-        held = self.store.staged(entity, self.store.stage(entity, hit))
-        self.overlay[entity.__table__] = self.store.stage(entity, after)
-        return held
+            held = self.store.staged(entity, self._stage(entity, hit))
+            self.overlay[name] = self._stage(entity, after)
+            return held
+        folders = self._stage(entity, batch)
+        batch = self.store.staged(entity, folders)
+        if key := entity.primary_key():
+            known = reduce(lambda a, b: a & b, (F.col(f"`{k}`").isNotNull() for k in key))
+            twice = batch.where(known).groupBy(*key).count().where("count > 1")
+            if not twice.isEmpty() or not present.join(batch.select(*key), key, "left_semi").isEmpty():
+                raise RelqError(None, f"a second row of the key {', '.join(key)}")
+        every = [*self._folders(name), *folders]
+        self.overlay[name] = every if len(every) < COMPACT else self._stage(entity, self.store.staged(entity, every))
+        return batch
 
     def update(self, q: Query, **changes: Any) -> int:
         return self._put(q.source, *write.updated(self._compiler(), self.rows(q.source), q, **changes))
@@ -150,7 +173,11 @@ class Session:
             raise
 
     def rollback(self) -> None:
+        """Ends the transaction without a change and removes what it staged."""
         self.failed, self.overlay = True, {}
+        for entity, name in self.made:
+            self.store.drop(entity, [name])
+        self.made = []
 
     def commit(self) -> None:
         if self.failed:
@@ -160,6 +187,7 @@ class Session:
                 raise VersionConflict(n)
         for n in sorted(self.overlay):
             self.store.publish(self.entities[n], self.overlay[n], self.versions[n])
+            self.published = True  # from here on what was staged stays
         for tell in self.observers:
             tell("commit")
 
@@ -170,11 +198,13 @@ def transaction(store: Store, entities: list[type[Entity]], observers: tuple[Cal
     own = Session(store, entities, observers)
     try:
         yield own
+        own.commit()
     except BaseException:
+        if not own.published:
+            own.rollback()
         for tell in observers:
             tell("rollback")
         raise
-    own.commit()
 
 
 def with_retries(store: Store, entities: list[type[Entity]], body: Callable[[Session], Any], attempts: int = 5, first_wait: float = 0.05) -> Any:

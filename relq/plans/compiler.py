@@ -2,13 +2,15 @@
 
 The order of steps is fixed, whatever the order of calls: sources (the deleted rows of joined ones left out before the
 join), joins, WHERE, groups with every aggregate that any later step needs as a hidden column, HAVING, windows, the
-projection, DISTINCT, order, slice, associations. Nothing runs here, and all of it is built-in expressions.
+projection, DISTINCT, order, slice, associations. All of it is built-in expressions, and nothing runs here but the levels
+of a recursion.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import re
+import uuid
 from functools import reduce
 from typing import Any
 
@@ -17,9 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..errors import RelqError
 from ..functions.expr import INTEGERS, Expr, Window, ordered
 from ..operators.query import INCLUDED, ONLY, Combined, CommonTable, Query, Raw, Recursive
 from ..sources.entity import Catalog
+from ..sources.shared import shared_folder
 
 #: A list longer than this is joined instead of written into the plan.
 LONG_LIST = 1000
@@ -80,6 +84,12 @@ class Compiler:
             df = df.select(*(scope.column(e).alias(n) for n, e in selection), *(scope.column(o.args[0]).alias(f"__o{i}") for i, o in enumerate(q.order)))
             df = df.orderBy(*(placed(F.col(f"__o{i}"), o) for i, o in enumerate(q.order))) if q.order else df
             df = sliced(df, q).select(*(F.col(f"`{n}`") for n in names))
+        elif q.preloads and q.order:  # joins with the associations lose an order: it is carried along and applied after them
+            terms = [scope.column(o.args[0]).alias(f"__o{i}") for i, o in enumerate(q.order)]
+            df = df.select(*(scope.column(e).alias(n) for n, e in selection), *terms)
+            order = [placed(F.col(f"__o{i}"), o) for i, o in enumerate(q.order)]
+            if q.offset_ or q.limit_ is not None:
+                df = sliced(df.orderBy(*order), q)
         else:  # the slice stands right above its sort: in a correlated subquery Spark takes the order from there only
             df = df.orderBy(*(placed(scope.column(o.args[0]), o) for o in q.order)) if q.order else df
             df = sliced(df, q).select(*(scope.column(e).alias(n) for n, e in selection))
@@ -87,6 +97,10 @@ class Compiler:
             from ..operators.preload import preloaded
 
             df = preloaded(self, df, q)
+            if q.order and q.distinct_ is not True:
+                df = df.orderBy(*(placed(F.col(f"__o{i}"), o) for i, o in enumerate(q.order))).drop(*(f"__o{i}" for i in range(len(q.order))))
+            elif q.order:
+                df = df.orderBy(*terms)
         return df
 
     def grouped(self, df: DataFrame, q: Query, scope: Scope) -> DataFrame:
@@ -105,12 +119,14 @@ class Compiler:
         return df.where(scope.column(q.having_)) if q.having_ is not None else df
 
     def first_of_each(self, df: DataFrame, q: Query, scope: Scope) -> DataFrame:
+        """The first row of each value. The filter on the rank right above the window lets Spark keep the first row of each
+        value in every task before the shuffle."""
         by = [scope.column(e) for e in q.distinct_]
         order = [placed(scope.column(o.args[0]), o) for o in q.order]
         if not q.grouped and hasattr(q.source, "primary_key"):  # ties fall to the least key
             order += [F.col(f"`{q.alias}`.`{k}`").asc_nulls_last() for k in q.source.primary_key()]
         w = W.partitionBy(*by).orderBy(*(order or by))
-        return df.withColumn("__first", F.row_number().over(w)).where("__first = 1")
+        return df.withColumn("__first", F.row_number().over(w)).where("__first <= 1")
 
     def combined(self, c: Combined) -> DataFrame:
         names = [n for n, _ in c.outputs()]
@@ -125,23 +141,40 @@ class Compiler:
         return Catalog(self.spark, None, {r.declares.__table__: df}).frame(r.declares)
 
     def recursive(self, r: Recursive) -> DataFrame:
-        """WITH RECURSIVE over the anchor's and the source's frames; a row whose walk holds its key goes no further."""
+        """The anchor's rows, then level by level the source's rows that link to the last level's, until there are none.
+
+        A row whose walk holds its key goes no further. Spark's own WITH RECURSIVE ends at a million rows; here each level
+        is a join of the last one with the source, written to the shared folder, so neither rows nor
+        levels are bounded but by r.levels. More levels than that are an error, as rows would be lost.
+        """
         names = [n for n, _ in r.anchor.outputs()]
         found = Query(CommonTable(r.name, r.anchor), r.name)._columns(CommonTable(r.name, r.anchor), r.name)
-        nodes = Query.of(r.source)
-        condition = text_of(r.on(nodes.sources()[0], found), {r.source.__table__: "n", r.name: "w"})
+        condition = F.expr(text_of(r.on(Query.of(r.source).sources()[0], found), {r.source.__table__: "n", r.name: "w"}))
+        nodes = self.catalog.frame(r.source)
         own = r.source.deleted_column()
-        live = f" AND n.`{own}` IS NULL" if own and r.anchor.scope != INCLUDED else ""
-        cols, from_n = ", ".join(f"`{n}`" for n in names), ", ".join(f"n.`{n}`" for n in names)
-        if not r.key:
-            text = f"WITH RECURSIVE w({cols}) MAX RECURSION LEVEL {r.levels} AS (SELECT {cols} FROM {{anchor}} UNION ALL SELECT {from_n} FROM {{nodes}} n JOIN w ON {condition}{live}) SELECT * FROM w"
-        else:
-            text = (
-                f"WITH RECURSIVE w({cols}, walked_path, closes_cycle) MAX RECURSION LEVEL {r.levels} AS (SELECT {cols}, array(`{r.key}`), false FROM {{anchor}} UNION ALL "
-                f"SELECT {from_n}, concat(w.walked_path, array(n.`{r.key}`)), array_contains(w.walked_path, n.`{r.key}`) FROM {{nodes}} n JOIN w ON {condition} AND NOT w.closes_cycle{live}) "
-                f"SELECT * FROM w{'' if r.closers else ' WHERE NOT closes_cycle'}"
-            )
-        return self.spark.sql(text, anchor=self.query(r.anchor).select(*names), nodes=self.catalog.frame(r.source))
+        if own and r.anchor.scope != INCLUDED:
+            nodes = nodes.where(F.col(f"`{own}`").isNull())
+        level = self.query(r.anchor).select(*names)
+        if r.key:
+            level = level.select("*", F.array(f"`{r.key}`").alias("walked_path"), F.lit(False).alias("closes_cycle"))
+        levels = [level := self.cut(level)]
+        while not (going := level.where("NOT closes_cycle") if r.key else level).isEmpty():
+            if len(levels) > r.levels:
+                raise RelqError(None, f"{r.name}: rows beyond {r.levels} levels of recursion")
+            next_ = nodes.alias("n").join(going.alias("w"), condition)
+            columns = [F.col(f"n.`{n}`") for n in names]
+            if r.key:
+                at = F.col(f"n.`{r.key}`")
+                columns += [F.concat("w.walked_path", F.array(at)).alias("walked_path"), F.array_contains("w.walked_path", at).alias("closes_cycle")]
+            levels.append(level := self.cut(next_.select(*columns)))
+        out = reduce(DataFrame.unionByName, levels)
+        return out if r.closers or not r.key else out.where("NOT closes_cycle")
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """df as a table in the shared folder, where its plan begins anew."""
+        path = f"{shared_folder(self.spark)}/relq-level-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
 def sliced(df: DataFrame, q: Any) -> DataFrame:
@@ -296,7 +329,7 @@ class Scope:
             made = F.call_function("div", x, y)
         else:
             made = {"+": x.__add__, "-": x.__sub__, "*": x.__mul__, "/": x.__truediv__}[op](y)
-        return made.cast(type) if isinstance(type, (*INTEGERS, T.FloatType)) else made
+        return made.cast(type) if isinstance(type, (*INTEGERS, T.FloatType, T.DoubleType)) else made
 
     def _truncate(self, a, unit, zone, type):  # noqa: A002
         c = self.column(a)

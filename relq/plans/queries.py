@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -9,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import RelqError
 from ..functions.expr import Window, dense_rank, fragment, lag, lead, literal, rank, row_number, scalar, scalar_count, scalar_first
 from ..operators.query import Raw, Recursive, combine
+from ..operators.transaction import Multi, Session, transaction, with_retries
 from ..operators.write import OnConflict, all_rows, removed, restored, soft_deleted, updated, upserted
 from ..sources.entity import Catalog
-from ..sources.star import Customer, Edge, Event, FiledOrder, Lineitem, Nation, Node, Orders, Part, Region, Supplier
+from ..sources.shared import shared_folder
+from ..sources.star import Customer, Edge, Event, FiledOrder, Lineitem, Nation, Node, Note, Orders, Part, Region, Supplier
+from ..sources.store import Store
 from .compiler import Compiler
 
 Made = tuple[Callable[[Compiler], DataFrame], str]
@@ -21,14 +26,18 @@ _made: dict[str, Made] = {}
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The tables of a folder, with the derived ones."""
+    """The tables of a folder, with the derived ones, which are made when a query first names them."""
     own = Catalog(spark, sf_dir)
-    orders, part = own.frame(Orders), own.frame(Part)
-    filed = orders.select(
-        "o_orderkey", "o_custkey", "o_totalprice", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("priority"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("deleted_at")
-    )
-    nodes = part.where("p_partkey > 0").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 1, F.expr("p_partkey div 2")).alias("parent_id"), F.col("p_size").alias("size"))
-    edges = spark.createDataFrame([("root", "c"), ("b", "root"), ("c", "b")], "id string, parent_id string")
+
+    def filed() -> DataFrame:
+        priority, deleted = F.nullif("o_orderpriority", F.lit("5-LOW")), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))
+        return own.frame(Orders).select("o_orderkey", "o_custkey", "o_totalprice", priority.alias("priority"), deleted.alias("deleted_at"))
+
+    def nodes() -> DataFrame:
+        parent = F.when(F.col("p_partkey") > 1, F.expr("p_partkey div 2"))
+        return own.frame(Part).where("p_partkey > 0").select(F.col("p_partkey").alias("id"), parent.alias("parent_id"), F.col("p_size").alias("size"))
+
+    edges = lambda: spark.createDataFrame([("root", "c"), ("b", "root"), ("c", "b")], "id string, parent_id string")
     return own.with_frames({"filed_orders": filed, "nodes": nodes, "walk_nodes": edges})
 
 
@@ -624,6 +633,11 @@ def _():
     return Part.select(lambda p: {"p_partkey": p.p_partkey, "q": (p.p_size - 25) / 7, "k": p.p_partkey / 7})
 
 
+@registered("mixed_arithmetic", "SELECT p_partkey, p_size * CAST(0.5 AS DOUBLE) AS a, p_partkey + p_size AS b, p_size - p_retailprice AS c, CAST(trunc(p_size / 4.0) AS BIGINT) AS d, p_size / CAST(4 AS DOUBLE) AS e FROM part")
+def _():
+    return Part.select(lambda p: {"p_partkey": p.p_partkey, "a": p.p_size * 0.5, "b": p.p_partkey + p.p_size, "c": p.p_size - p.p_retailprice, "d": (p.p_size / 4).cast(T.LongType()), "e": p.p_size / 4.0})
+
+
 # writes: the table as it is after the change
 
 
@@ -683,9 +697,163 @@ def _(c, rows):
     return restored(c, rows(FiledOrder), FiledOrder.where(lambda o: o.o_custkey < 100))
 
 
+# transactions over the store: the table as it stands after the commit
+
+
+def stored(make):
+    """A query that works on a new store, in the folder that spark.checkpoint.dir names, and gives what make gives."""
+    return lambda: lambda c: make(c, Store(c.spark, f"{shared_folder(c.spark)}/relq-store-{uuid.uuid4().hex}"))
+
+
+def filled(c, store, *entities):
+    with transaction(store, list(entities)) as t:
+        for e in entities:
+            t.insert(e, c.catalog.frame(e))
+    return store
+
+
+def refused(run) -> bool:
+    try:
+        run()
+    except RelqError:
+        return True
+    return False
+
+
+@registered("insert_batch", "SELECT * FROM supplier UNION ALL VALUES (-1, 'one', 3, 0.5), (-2, 'two', 4, -1.5)")
+@stored
+def _(c, store):
+    """A frame and a list, in two versions of which the second adds one folder."""
+    filled(c, store, Supplier)
+    with transaction(store, [Supplier]) as t:
+        t.insert(Supplier, [{"s_suppkey": -1, "s_name": "one", "s_nationkey": 3, "s_acctbal": 0.5}, {"s_suppkey": -2, "s_name": "two", "s_nationkey": 4, "s_acctbal": -1.5}])
+    return store.read(Supplier)
+
+
+@registered("insert_existing_key_refused", "SELECT *, true AS refused FROM supplier")
+@stored
+def _(c, store):
+    filled(c, store, Supplier)
+    again = lambda: filled(c, store, Supplier)
+    return store.read(Supplier).withColumn("refused", F.lit(refused(again)))
+
+
+@registered("insert_generated_keys", "SELECT 25 + row_number() OVER (ORDER BY n_nationkey) AS id, n_name AS name, 0 AS version FROM nation UNION ALL SELECT n_nationkey, n_name, 0 FROM nation WHERE n_nationkey > 0 UNION ALL SELECT 25, 'given', 0")
+@stored
+def _(c, store):
+    """D3: given numbers stay, and the rest is numbered after the largest, in the order of the list."""
+    with transaction(store, [Note]) as t:
+        t.insert(Note, c.catalog.frame(Nation).where("n_nationkey > 0").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.lit(0).cast("long").alias("version")))
+        t.insert(Note, [{"id": 25, "name": "given", "version": 0}])
+        t.insert(Note, [{"name": r.n_name, "version": 0} for r in c.catalog.frame(Nation).orderBy("n_nationkey").collect()])  # 25 rows
+    return store.read(Note)
+
+
+@registered("update_row_with_version", "SELECT s_suppkey AS id, CASE WHEN s_suppkey IN (1, 2) THEN 'changed' ELSE s_name END AS name, CASE WHEN s_suppkey = 1 THEN 2 WHEN s_suppkey = 2 THEN 1 ELSE 0 END AS version, true AS stale_refused FROM supplier")
+@stored
+def _(c, store):
+    """One row by key, only the named columns; the version goes up, and a row read before is refused."""
+    with transaction(store, [Note]) as t:
+        t.insert(Note, c.catalog.frame(Supplier).select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit(0).cast("long").alias("version")))
+    with transaction(store, [Note]) as t:
+        t.update_row(Note, {"id": 1, "version": 0}, name="first")
+        t.update_row(Note, {"id": 1, "version": 1}, name="changed")
+        t.update_row(Note, {"id": 2, "version": 0}, name="changed")
+        stale = refused(lambda: t.update_row(Note, {"id": 2, "version": 0}, name="lost"))
+    return store.read(Note).withColumn("stale_refused", F.lit(stale))
+
+
+@registered("delete_row", "SELECT *, true AS missing_refused FROM supplier WHERE s_suppkey <> 3")
+@stored
+def _(c, store):
+    """One row by key; no such row is an error."""
+    filled(c, store, Supplier)
+    with transaction(store, [Supplier]) as t:
+        t.delete_row(Supplier, {"s_suppkey": 3})
+        missing = refused(lambda: t.delete_row(Supplier, {"s_suppkey": 3}))
+    return store.read(Supplier).withColumn("missing_refused", F.lit(missing))
+
+
+@registered("transaction_rolls_back", "SELECT * FROM supplier")
+@stored
+def _(c, store):
+    """What a failed block changed is not there, nor what it staged."""
+    filled(c, store, Supplier)
+
+    def fail():
+        with transaction(store, [Supplier]) as t:
+            t.delete(Supplier.where(lambda s: s.s_acctbal > 0.0))
+            raise RelqError(None, "on purpose")
+
+    refused(fail)
+    return store.read(Supplier)
+
+
+@registered("savepoint_rolls_back", "SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_acctbal < 0 THEN 0 ELSE s_acctbal END AS s_acctbal FROM supplier")
+@stored
+def _(c, store):
+    """The inner block goes, the outer one stays."""
+    filled(c, store, Supplier)
+    with transaction(store, [Supplier]) as t:
+        t.update(Supplier.where(lambda s: s.s_acctbal < 0.0), s_acctbal=0.0)
+
+        def fail():
+            with t.savepoint():
+                t.delete(Supplier.where(lambda s: s.s_nationkey > 0))
+                raise RelqError(None, "on purpose")
+
+        refused(fail)
+    return store.read(Supplier)
+
+
+@registered("locked_read_conflict", "SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_suppkey = 1 THEN 1 ELSE s_acctbal END AS s_acctbal, true AS refused FROM supplier")
+@stored
+def _(c, store):
+    """A table that was read with a lock and changed by another makes the commit fail; a retry succeeds."""
+    filled(c, store, Supplier)
+    late = Session(store, [Supplier])
+    late.all(Supplier.where(lambda s: s.s_suppkey == 1).lock_for_update())
+    with_retries(store, [Supplier], lambda t: t.update(Supplier.where(lambda s: s.s_suppkey == 1), s_acctbal=1.0))
+    return store.read(Supplier).withColumn("refused", F.lit(refused(late.commit)))
+
+
+@registered("multi_steps", "SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_suppkey = 5 THEN 7 ELSE s_acctbal END AS s_acctbal, 'broken' AS failed_step FROM supplier WHERE s_suppkey <> 4")
+@stored
+def _(c, store):
+    """Named steps of one transaction; a failing step undoes all of its run and is named."""
+    filled(c, store, Supplier)
+    good = Multi().step("gone", lambda t, done: t.delete(Supplier.where(lambda s: s.s_suppkey == 4))).step("set", lambda t, done: t.update(Supplier.where(lambda s: s.s_suppkey == 4 + done["gone"]), s_acctbal=7.0))
+    good.run(store, [Supplier])
+    bad = Multi().step("all", lambda t, done: t.delete(all_rows(Supplier))).step("broken", lambda t, done: t.delete_row(Supplier, {"s_suppkey": 4}))
+    return store.read(Supplier).withColumn("failed_step", F.lit(bad.run(store, [Supplier]).step))
+
+
+@registered("pinned_version", "SELECT * FROM supplier")
+@stored
+def _(c, store):
+    """A version that was read stays as it was."""
+    filled(c, store, Supplier)
+    with transaction(store, [Supplier]) as t:
+        t.delete(Supplier.where(lambda s: s.s_acctbal > 0.0))
+    return store.read(Supplier, 1)
+
+
 # associations
 
 
+@registered("preload_keeps_order", "SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS BIGINT) AS place, CAST((SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS BIGINT) AS n FROM (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 40)")
+def _():
+    """L1: parents stand in their order after the associations were joined to them."""
+
+    def run(c):
+        from ..operators.repo import Repo
+
+        rows = Repo(c.catalog).all(Customer.query().order_by(lambda x: (x.c_acctbal.desc(), x.c_custkey)).limit(40).preload("orders"))
+        return c.spark.createDataFrame([(r.c_custkey, i + 1, len(r.orders)) for i, r in enumerate(rows)], "c_custkey long, place long, n long")
+
+    return run
+
+
 @registered("preload_has_many", "SELECT c_custkey, count(o_orderkey) AS n, min(o_orderkey) AS low, coalesce(sum(o_orderkey), 0)::BIGINT AS s FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus <> 'P' GROUP BY 1")
 def _():
     q = Customer.preload("orders", lambda o: o.where(lambda x: x.o_orderstatus != "P"))

@@ -146,7 +146,8 @@ setattr(Entity, "aliased", classmethod(lambda cls, name: cls.query(name)))
 
 
 class Catalog:
-    """Where each table is: given frames, else Parquet below a folder, else a table of Spark's catalog."""
+    """Where each table is: given frames or functions that make one, else Parquet below a folder, else a table of Spark's
+    catalog."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None, frames: dict[str, DataFrame] | None = None) -> None:
         self.spark, self.folder, self.frames = spark, folder, dict(frames or {})
@@ -159,6 +160,7 @@ class Catalog:
         name = entity.__table__
         if name in self.frames:
             df = self.frames[name]
+            df = df() if callable(df) else df
         elif entity.__schema_name__:
             df = self.spark.table(f"`{entity.__schema_name__}`.`{name}`")
         elif self.folder:

@@ -100,3 +100,11 @@ class Edge(Entity, table="walk_nodes"):
 
     id = Field("string", key=True)
     parent_id = Field("string", nullable=True)
+
+
+class Note(Entity, table="notes"):
+    """Rows with a generated key and a version, for writes."""
+
+    id = Field("long", key=True, generated=True)
+    name = Field("string")
+    version = Field("long", version=True)

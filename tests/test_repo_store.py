@@ -280,3 +280,65 @@ def test_stored_forms(spark):
 
     row = df.select(codec.add_interval(F.col("at"), F.col("i")).alias("x"), codec.json_column(F.col("j"), T.StructType([T.StructField("k", T.IntegerType())])).alias("j")).first()
     assert row.x == dt.datetime(2024, 3, 1, 12, 0, 1, 500_000) and row.j.k == 3
+
+
+def test_versions_are_lists_of_folders(store, spark, tmp_path):
+    with transaction(store, [Entry]) as t:
+        t.insert(Entry, spark.range(1000).select(F.col("id"), F.lit("n").alias("name")))
+    first = store.folders("kv", 1)
+    with transaction(store, [Entry]) as t:
+        t.insert(Entry, [{"name": "one more"}])
+    assert store.folders("kv", 2)[:1] == first and len(store.folders("kv", 2)) == 2 and store.read(Entry).count() == 1001
+    assert store.read(Entry, 1).count() == 1000
+    on_disk = {p.name for p in (tmp_path / "kv").iterdir() if p.name.startswith("v-")}
+    with pytest.raises(RelqError), transaction(store, [Entry]) as t:
+        t.insert(Entry, [{"id": 5, "name": "again"}])
+    with pytest.raises(RelqError), transaction(store, [Entry]) as t:
+        t.insert(Entry, [{"id": 5000, "name": "a"}, {"id": 5000, "name": "b"}])
+    assert {p.name for p in (tmp_path / "kv").iterdir() if p.name.startswith("v-")} == on_disk  # what was staged is gone
+    with transaction(store, [Entry]) as t:
+        t.delete(Entry.where(lambda e: e.id < 990))
+    assert set(store.vacuum(Entry, keep=1, hours=-1)) == on_disk and store.read(Entry).count() == 11
+
+
+def test_a_pointer_is_whole_or_not_there(store, tmp_path):
+    with transaction(store, [Entry]) as t:
+        t.insert(Entry, [{"name": "a"}])
+    (tmp_path / "kv/_versions/_left-by-a-crash").write_text("")
+    assert store.version("kv") == 1 and names(store) == {("a", None)}
+    late = Session(store, [Entry])
+    late.insert(Entry, [{"name": "late"}])
+    assert store._moved(store._fs(), store._path(f"{store.folder}/kv/_versions/_left-by-a-crash"), store._path(f"{store.folder}/kv/_versions/1")) is False
+    with transaction(store, [Entry]) as t:
+        t.insert(Entry, [{"name": "b"}])
+    with pytest.raises(VersionConflict):
+        late.commit()
+    (tmp_path / "kv/_versions/3").write_text("")
+    with pytest.raises(RelqError):
+        store.read(Entry)
+
+
+def test_preloads_keep_the_order_without_broadcasts(spark, sf):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = Repo(catalog(spark, sf)).all(Customer.query().order_by(lambda c: (c.c_acctbal.desc(), c.c_custkey)).limit(30).preload("orders").preload("nation"))
+        every = Repo(catalog(spark, sf)).all(Orders.query().order_by(lambda o: o.o_totalprice).preload("customer"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert [r.c_acctbal for r in rows] == sorted((r.c_acctbal for r in rows), reverse=True) and len(rows) == 30
+    assert rows[0].__fields__ == [*Customer.columns(), "orders", "nation"]
+    assert [r.o_totalprice for r in every] == sorted(r.o_totalprice for r in every)
+
+
+def test_recursion_beyond_a_million_rows(spark):
+    from relq.operators.query import Recursive
+    from relq.sources.star import Node
+
+    n = 1_200_000
+    frame = spark.range(1, n).select("id", F.when(F.col("id") > 1, F.expr("id div 200")).alias("parent_id"), F.lit(1).alias("size"))
+    own = Repo(Catalog(spark, None, {"nodes": frame.withColumn("parent_id", F.expr("greatest(parent_id, least(1, id - 1))"))}))
+    tree = lambda levels: Recursive("tree", Node.where(lambda x: x.id == 1).select(id=lambda x: x.id), Node, lambda x, t: x.parent_id == t.id, levels=levels).query()
+    assert own.count(tree(100)) == n - 1
+    with pytest.raises(RelqError):
+        own.count(tree(2))
