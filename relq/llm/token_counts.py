@@ -1,9 +1,11 @@
 """Token counts that follow edits.
 
 A document's tree has one leaf for some tens of segments: their length in code points and their tokens; sums stand
-above. A leaf begins at a space after a character that is no white space, where no token spans. An edit re-encodes
+above. A segment begins at a space after a character that is no white space, and in long stretches without such spaces
+where a letter is followed by what is neither letter nor white space: no token spans these places. An edit re-encodes
 the leaves from the one with the character before it to the one with the character after it, so that both borders of
-that region are borders still, and replaces them in the tree; nothing else is encoded or summed again.
+that region are borders still, and puts leaves of the usual size in their place; nothing else is encoded or summed
+again. A run of letters without any border is one pre-token, which is encoded whole.
 """
 
 from __future__ import annotations
@@ -12,14 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, table
-from .tokenizer import IRREGULAR, Encoder, default_path, encoder
+from .tokenizer import IRREGULAR, LONGEST, Encoder, default_path, encoder
 
 #: Segments of a new leaf.
 LEAF = 32
+#: Borders within a segment; not before marks that names of added tokens hold, as an edit may complete such a name.
+BORDER = regex.compile(r"(?<=\p{L})(?=[^\p{L}\s|<>])", regex.V1)
 
 
 def leaves(encode: Encoder, text: str) -> tuple[list[int], list[int]]:
@@ -35,54 +40,106 @@ def leaves(encode: Encoder, text: str) -> tuple[list[int], list[int]]:
             else:
                 merged[-1] += " " + p
         first, *parts = merged
-    chars = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
-    tokens = np.fromiter(map(len, map(encode.__getitem__, parts)), np.int64, len(parts)) // 4
-    chars, tokens = np.append(len(first), chars), np.append(len(encode.raw(first)) // 4, tokens)
+    if max(map(len, parts), default=0) > LONGEST or len(first) > LONGEST:
+        chars, tokens = [], []
+        for k, p in enumerate([first, *parts]):
+            whole = " " * (k > 0) + p
+            if len(p) <= LONGEST:
+                chars.append(len(whole))
+                tokens.append(len(encode[p] if k else encode.raw(p)) // 4)
+            else:
+                own = [whole] if encode.has_special(p) else BORDER.split(whole)
+                chars += map(len, own)
+                tokens += [len(encode.raw(x)) // 4 for x in own]
+    else:
+        chars = np.append(len(first), np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+        tokens = np.append(len(encode.raw(first)) // 4, np.fromiter(map(len, map(encode.__getitem__, parts)), np.int64, len(parts)) // 4)
     at = np.arange(0, len(chars), LEAF)
     return np.add.reduceat(chars, at).tolist(), np.add.reduceat(tokens, at).tolist()
 
 
+class Node:
+    """Sums of code points, tokens and leaves; kids is None for a leaf."""
+
+    __slots__ = ("chars", "kids", "leaves", "tokens")
+
+    def __init__(self, chars: int, tokens: int, kids: list[Node] | None = None) -> None:
+        self.chars, self.tokens, self.leaves, self.kids = chars, tokens, 1, kids
+        if kids is not None:
+            self.add_up()
+
+    def add_up(self) -> None:
+        self.chars, self.tokens, self.leaves = (sum(getattr(x, n) for x in self.kids) for n in ("chars", "tokens", "leaves"))
+
+
 class Tree:
-    """Sums of code points and tokens over leaves. Inner nodes hold up to FANOUT children, so a path is short."""
+    """Leaves under nodes of up to FANOUT children, which split where they grow beyond it and go where they are empty."""
 
     FANOUT = 32
 
     def __init__(self, chars: list[int], tokens: list[int]) -> None:
-        self.levels = [[list(x) for x in zip(chars, tokens)]]
-        while len(self.levels[-1]) > self.FANOUT:
-            self.levels.append([self._sum(k) for k in range(-(-len(self.levels[-1]) // self.FANOUT))])
-
-    def _sum(self, k: int) -> list[int]:
-        own = self.levels[-1][k * self.FANOUT : (k + 1) * self.FANOUT]
-        return [sum(x[0] for x in own), sum(x[1] for x in own)]
+        level = [Node(c, t) for c, t in zip(chars, tokens)]
+        while len(level) > self.FANOUT:
+            level = [Node(0, 0, level[k : k + self.FANOUT]) for k in range(0, len(level), self.FANOUT)]
+        self.root = Node(0, 0, level)
 
     @property
     def tokens(self) -> int:
-        return sum(x[1] for x in self.levels[-1])
-
-    def find(self, at: int) -> tuple[int, int]:
-        """The leaf that holds the code point at a place (the last leaf beyond the end), and where that leaf begins."""
-        k, start = 0, 0
-        for level in reversed(self.levels):
-            k *= self.FANOUT
-            end = len(level) if level is self.levels[-1] else min(len(level), k + self.FANOUT)
-            while k + 1 < end and start + level[k][0] <= at:
-                start += level[k][0]
-                k += 1
-        return k, start
+        return self.root.tokens
+
+    def find(self, at: int) -> tuple[int, int, int]:
+        """The number of the leaf that holds the code point at a place (the last leaf beyond the end), where that leaf
+        begins, and its length."""
+        node, number, start = self.root, 0, 0
+        while node.kids is not None:
+            for x in node.kids[:-1]:
+                if start + x.chars > at:
+                    break
+                number, start = number + x.leaves, start + x.chars
+            else:
+                x = node.kids[-1]
+            node = x
+        return number, start, node.chars
 
     def replace(self, a: int, b: int, chars: list[int], tokens: list[int]) -> None:
-        """Puts the new leaves in place of a to b-1: they fill those places, the last place takes the sums of the rest."""
-        new = [[0, 0] for _ in range(b - a)]
+        """Puts the new leaves in place of a to b-1."""
+        for _ in range(b - a):
+            self._take(self.root, a)
         for i, (c, t) in enumerate(zip(chars, tokens)):
-            new[min(i, b - a - 1)][0] += c
-            new[min(i, b - a - 1)][1] += t
-        for k, x in zip(range(a, b), new):
-            more = [x[0] - self.levels[0][k][0], x[1] - self.levels[0][k][1]]
-            for level in self.levels:
-                level[k][0] += more[0]
-                level[k][1] += more[1]
-                k //= self.FANOUT
+            more = self._put(self.root, a + i, Node(c, t))
+            if more:
+                self.root = Node(0, 0, [self.root, more])
+        while self.root.kids and len(self.root.kids) == 1 and self.root.kids[0].kids is not None:
+            self.root = self.root.kids[0]
+
+    def _take(self, node: Node, k: int) -> None:
+        for i, x in enumerate(node.kids):
+            if k < x.leaves:
+                break
+            k -= x.leaves
+        if x.kids is not None:
+            self._take(x, k)
+        if x.kids is None or not x.kids:
+            del node.kids[i]
+        node.add_up()
+
+    def _put(self, node: Node, k: int, leaf: Node) -> Node | None:
+        """Puts a leaf before the k-th; gives the node's new right neighbour where it had to be split."""
+        if not node.kids or node.kids[0].kids is None:
+            node.kids.insert(k, leaf)
+        else:
+            for i, x in enumerate(node.kids):
+                if k <= x.leaves:
+                    break
+                k -= x.leaves
+            more = self._put(x, k, leaf)
+            if more:
+                node.kids.insert(i + 1, more)
+        right = None
+        if len(node.kids) > self.FANOUT:
+            right, node.kids = Node(0, 0, node.kids[self.FANOUT // 2 :]), node.kids[: self.FANOUT // 2]
+        node.add_up()
+        return right
 
 
 def edit(encode: Encoder, tree: Tree, text: str, start: int, end: int, new: str) -> tuple[str, int]:
@@ -90,22 +147,22 @@ def edit(encode: Encoder, tree: Tree, text: str, start: int, end: int, new: str)
     start = min(max(start, 0), len(text))
     end = min(max(end, start), len(text))
     edited = text[:start] + new + text[end:]
-    if not tree.levels[0]:
+    if not tree.root.leaves:
         tree.__init__(*leaves(encode, edited))
         return edited, len(edited)
-    a, begin = tree.find(max(start - 1, 0))
-    b, last = tree.find(end)
-    stop = last + tree.levels[0][b][0]
-    region = edited[begin : stop + len(edited) - len(text)]
+    a, begin, _ = tree.find(max(start - 1, 0))
+    b, last, size = tree.find(end)
+    region = edited[begin : last + size + len(edited) - len(text)]
     chars, tokens = leaves(encode, region) if begin == 0 else _inner(encode, region)
     tree.replace(a, b + 1, chars, tokens)
     return edited, len(region)
 
 
 def _inner(encode: Encoder, region: str) -> tuple[list[int], list[int]]:
-    """Leaves of a region that begins with the space of its first segment."""
-    chars, tokens = leaves(encode, "." + region)  # any segment before it; then that one is taken away
-    return [chars[0] - 1, *chars[1:]], [tokens[0] - len(encode.raw(".")) // 4, *tokens[1:]]
+    """Leaves of a region that begins at a border: encoded after a letter, which is then taken away."""
+    chars, tokens = leaves(encode, "a" + region)
+    chars, tokens = [chars[0] - 1, *chars[1:]], [tokens[0] - len(encode.raw("a")) // 4, *tokens[1:]]
+    return (chars, tokens) if chars[0] else (chars[1:], tokens[1:])
 
 
 def build(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:

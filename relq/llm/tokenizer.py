@@ -32,19 +32,29 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Encoder(dict):
-    """Maps a segment without its leading space to the little-endian uint32 ids of the segment with it."""
+    """Maps a segment without its leading space to the little-endian uint32 ids of the segment with it.
+
+    The vocabulary file's added tokens are single ids wherever their names stand in a text; what is between them is encoded
+    as texts of their own.
+    """
 
     def __init__(self, path: str) -> None:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        letters = _byte_letters()
-        special = {"<|endoftext|>"}
-        ranks = {bytes(letters[c] for c in word): n for word, n in model["vocab"].items() if word not in special}
+            held = json.load(f)
+        letters, self.special = _byte_letters(), {x["content"]: x["id"].to_bytes(4, "little") for x in held["added_tokens"]}
+        ranks = {bytes(letters[c] for c in word): n for word, n in held["model"]["vocab"].items() if word not in self.special}
         self.plain = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        names = sorted(self.special, key=len, reverse=True)
+        self.names = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+
+    def has_special(self, text: str) -> bool:
+        return any(x in text for x in self.special)
 
     def raw(self, text: str) -> bytes:
+        if self.has_special(text):
+            return b"".join(self.special[x] if x in self.special else self.raw(x) for x in self.names.split(text) if x)
         ids = self.plain(text)
         return b"".join(n.to_bytes(4, "little") for n in ids)
 
@@ -57,8 +67,8 @@ class Encoder(dict):
         return found
 
     def encode(self, text: str) -> bytes:
-        """All ids of a text as little-endian uint32; the names of special tokens are ordinary text."""
-        if IRREGULAR.search(text):
+        """All ids of a text as little-endian uint32."""
+        if IRREGULAR.search(text) or self.special and self.has_special(text):
             return self.raw(text)
         first, *rest = text.split(" ")
         return self.raw(first) + b"".join(map(self.__getitem__, rest))

@@ -100,9 +100,8 @@ def test_ids_are_the_tokenizers(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
     e = encoder(default_path())
-    for x in [x or "" for x in ODD] + ["it's  we'll\n\n  end ", " x  y", "a\u0085 b", "num 12345 ½ ²"]:
+    for x in [x or "" for x in ODD] + ["it's  we'll\n\n  end ", " x  y", "a\u0085 b", "num 12345 ½ ²", "a <|endoftext|> b", "<|endoftext|><|endoftext|>  x", "x  <|endoftext|>y <|endoftext|"]:
         assert np.frombuffer(e.encode(x), np.uint32).tolist() == t.encode(x, add_special_tokens=False).ids
 
 
@@ -142,13 +141,13 @@ def test_first_fit_decreasing_is_first_fit():
 def test_edits_count_like_a_fresh_text(spark, odd):
     e = encoder(default_path())
     rng = np.random.default_rng(2)
-    for text in [x or "" for x in ODD]:
+    for text in [x or "" for x in ODD] + ["中文，没有空格。" * 40, "letters<|endoftext" + "|and,more;text" * 20]:
         tree, now = token_counts.Tree(*token_counts.leaves(e, text)), text
         for _ in range(25):
             a = int(rng.integers(0, len(now) + 1))
             b = min(len(now), a + int(rng.choice([0, 1, 30, 10**6], p=[0.4, 0.3, 0.25, 0.05])))
-            now, _ = token_counts.edit(e, tree, now, a, b, str(rng.choice(["", " ", "a", "  b", "c\n", " d e"])))
-            assert tree.tokens == len(e.encode(now)) // 4 and sum(x[0] for x in tree.levels[0]) == len(now)
+            now, _ = token_counts.edit(e, tree, now, a, b, str(rng.choice(["", " ", "a", "  b", "c\n", " d e", "|>", ",", "'s"])))
+            assert tree.tokens == len(e.encode(now)) // 4 and tree.root.chars == len(now)
     edits = F.array(F.struct(F.lit(2).cast("long").alias("start"), F.lit(3).cast("long").alias("end"), F.lit(" new").alias("new")), F.lit(None))
     rows = token_counts.recount(token_counts.build(odd.withColumn("edits", edits), keep=("edits",))).collect()
     assert len(rows) == odd.count() and all(r.edited_tokens == len(e.encode(r.edited_text)) // 4 for r in rows)
@@ -158,11 +157,32 @@ def test_long_documents_reencode_little():
     e = encoder(default_path())
     text = "some words of a long text " * 4000
     tree = token_counts.Tree(*token_counts.leaves(e, text))
-    assert len(tree.levels) > 1
+    assert tree.root.kids[0].kids is not None
     _, n = token_counts.edit(e, tree, text, 50_000, 50_003, "xyz")
     assert n < 1000
 
 
+def test_many_edits_at_one_place_reencode_little():
+    e = encoder(default_path())
+    text = "some words of a long text " * 400
+    tree, sizes = token_counts.Tree(*token_counts.leaves(e, text)), []
+    for _ in range(2000):
+        text, n = token_counts.edit(e, tree, text, 5000, 5000, " two words")
+        sizes.append(n)
+    assert max(sizes) < 1500 and tree.tokens == len(e.encode(text)) // 4
+    for _ in range(300):
+        text, n = token_counts.edit(e, tree, text, 4000, 4100, "")
+    assert tree.tokens == len(e.encode(text)) // 4 and tree.root.chars == len(text)
+
+
+def test_text_without_spaces_reencodes_little():
+    e = encoder(default_path())
+    text = "这是一个没有空格的句子，后面还有一句。" * 1000
+    tree = token_counts.Tree(*token_counts.leaves(e, text))
+    text, n = token_counts.edit(e, tree, text, 9000, 9001, "新")
+    assert n < 1500 and tree.tokens == len(e.encode(text)) // 4
+
+
 # fingerprints
 
 
