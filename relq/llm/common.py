@@ -6,16 +6,15 @@ sees them and a lost executor costs only a recomputation of its own tasks.
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 #: Rows of one Arrow batch handed to Python, so that a batch of long texts stays small.
 BATCH_ROWS = 256
 
@@ -32,20 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a temporary one is made and set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    made = tempfile.mkdtemp(prefix="relq-")
-    atexit.register(shutil.rmtree, made, True)
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
 #: Folders that this process has made in the shared one.
 _made: list[str] = []
 
@@ -57,13 +42,18 @@ def clean(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """The path of a folder of its own in the shared one, which clean() removes."""
+    path = f"{shared_folder(spark)}/relq-{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/relq-{label}-{uuid.uuid4().hex}"
-    _made.append(path)
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by inner product: a hierarchical navigable small-world graph for each shard.
 
-Vectors are dealt to shards of a bounded number by a hash of their id. A shard's graph is stored as one row of flat
+Vectors are dealt to shards of a bounded size, those of each length to their own, by a hash of their id. A shard's graph is stored as one row of flat
 arrays: ids, vectors, and for each layer the nodes and their neighbours. Inner product becomes distance on the unit
 sphere of one more dimension, which fills each vector up to the longest length; every layer's lists hold the nearest
-nodes that are not nearer to one already chosen, filled up with the nearest others, and links back. Equal vectors of a
-shard are one node. Queries meet every shard in blocks; each shard returns its nearest, scored in double precision
+nodes that are not nearer to one already chosen, filled up with the nearest others, and links back. Near nodes are
+searched in cells cut by random directions, so building takes time in proportion to the vectors. Equal vectors of a
+shard are one node. Queries meet every shard of their length in blocks, each pair of both in a task of its own; each shard returns its nearest, scored in double precision
 on the vectors as given, and these are merged.
 """
 
@@ -21,9 +22,11 @@ from pyspark.sql import functions as F
 from .common import materialize, small_batches, table
 
 #: Vectors of a shard, queries of a block.
-SHARD, BLOCK = 4096, 2048
-#: Neighbours on the upper layers (twice as many on the lowest), and nodes that a search holds.
-M, EF = 16, 128
+SHARD, BLOCK = 32_768, 1024
+#: Vectors of a cell in which near ones are searched when a graph is built, and ways to cut a shard into cells.
+CELL, CUTS = 4096, 3
+#: Neighbours on the upper layers (twice as many on the lowest), nodes that a search holds, and that it begins with.
+M, EF, SEEDS = 24, 256, 16
 INDEX = "shard long, ids binary, starts binary, vectors binary, dim int, layers array<struct<nodes:binary,near:binary,width:int>>"
 
 
@@ -33,35 +36,74 @@ def lifted(x: np.ndarray) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(0, 1 - (x**2).sum(1, keepdims=True)))]).astype(np.float32)
 
 
+def cells(points: np.ndarray, most: int, rng: np.random.Generator) -> list[np.ndarray]:
+    """The points halved by random directions until no part holds more than so many."""
+    done, todo = [], [np.arange(len(points), dtype=np.int32)]
+    while todo:
+        own = todo.pop()
+        if len(own) <= most:
+            done.append(own)
+            continue
+        along = points[own] @ rng.standard_normal(points.shape[1]).astype(np.float32)
+        order = np.argsort(along, kind="stable")
+        todo += [own[order[: len(own) // 2]], own[order[len(own) // 2 :]]]
+    return done
+
+
+def nearest_others(points: np.ndarray, wide: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """For each point up to wide near others, nearest first (-1: none), and their products with it: the nearest of all in
+    its cell, of CUTS halvings into cells of CELL, so that the work grows with the number of points."""
+    n, rng = len(points), np.random.Generator(np.random.PCG64(seed))
+    cuts = 1 if n <= CELL else CUTS
+    found, value = np.full((n, cuts * wide), -1, np.int32), np.full((n, cuts * wide), -np.inf, np.float32)
+    for c in range(cuts):
+        for own in cells(points, CELL, rng):
+            k = min(wide, len(own) - 1)
+            for at in range(0, len(own) if k > 0 else 0, 1024):
+                rows = own[at : at + 1024]
+                near = points[rows] @ points[own].T
+                near[np.arange(len(rows)), np.arange(at, at + len(rows))] = -np.inf
+                top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+                found[rows, c * wide : c * wide + k], value[rows, c * wide : c * wide + k] = own[top], np.take_along_axis(near, top, 1)
+    for at in range(0, n, 4096):
+        rows = slice(at, at + 4096)
+        if cuts > 1:  # one that two cells gave counts once
+            order = np.argsort(found[rows], axis=1, kind="stable")
+            f, v = np.take_along_axis(found[rows], order, 1), np.take_along_axis(value[rows], order, 1)
+            v[:, 1:][f[:, 1:] == f[:, :-1]] = -np.inf
+            found[rows], value[rows] = f, v
+        order = np.argsort(-value[rows], axis=1, kind="stable")
+        found[rows], value[rows] = np.take_along_axis(found[rows], order, 1), np.take_along_axis(value[rows], order, 1)
+    return np.where(np.isfinite(value), found, -1)[:, :wide], value[:, :wide]
+
+
 def linked(points: np.ndarray, m: int) -> np.ndarray:
     """Neighbour lists of a layer's nodes (-1: none): diverse near nodes, then the nearest others, and links back."""
     n, wide = len(points), min(len(points) - 1, 4 * m)
     lists = np.full((n, m), -1, np.int32)
     if wide <= 0:
         return lists
+    near, to = nearest_others(points, wide)
     found: list[list[int]] = []
-    for k in range(0, n, 1024):
-        near = points[k : k + 1024] @ points.T
-        near[np.arange(len(near)), np.arange(k, k + len(near))] = -np.inf
-        top = np.argpartition(-near, wide - 1, axis=1)[:, :wide]
-        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
-        for i, own in enumerate(top):
-            between, to = points[own] @ points[own].T, near[i, own]
-            free, chosen = np.ones(wide, bool), []
-            for j in range(wide):
-                if free[j]:
-                    chosen.append(j)
-                    if len(chosen) == m // 2:
-                        break
-                    free &= between[j] <= to  # nearer to j than to the node: reached through j
-            rest = [j for j in range(wide) if j not in chosen][: m // 2 + m // 4 - len(chosen)]
-            found.append(own[chosen + rest].tolist())
+    for own, reach in zip(near, to):
+        own = own[own >= 0]
+        between, reach = points[own] @ points[own].T, reach[: len(own)]
+        free, chosen = np.ones(len(own), bool), []
+        for j in range(len(own)):
+            if free[j]:
+                chosen.append(j)
+                if len(chosen) == m // 2:
+                    break
+                free &= between[j] <= reach  # nearer to j than to the node: reached through j
+        rest = [j for j in range(len(own)) if j not in chosen][: m // 2 + m // 4 - len(chosen)]
+        found.append(own[chosen + rest].tolist())
     back: list[list[int]] = [[] for _ in range(n)]
     for i, own in enumerate(found):
         for j in own:
             back[j].append(i)
     for i in range(n):
-        own = found[i] + [j for j in back[i] if j not in found[i]]
+        held = set(found[i])
+        own = found[i] + [j for j in back[i] if j not in held]
         lists[i, : min(m, len(own))] = own[:m]
     return lists
 
@@ -87,31 +129,33 @@ def build(ids: np.ndarray, vectors: np.ndarray, m: int = M, seed: int = 3) -> di
 def search(graph: dict, queries: np.ndarray, ef: int = EF) -> np.ndarray:
     """For each query the nodes found (up to ef, nearest first, -1: none), all queries a step at a time.
 
-    Every query starts at the first node of the top layer, walks greedily down the layers, and on the lowest keeps
-    its ef nearest nodes, following the lists of the nearest four not yet followed until there are none.
+    Every query compares the nodes of the lowest upper layer that has no more than CELL and takes the SEEDS nearest; on each
+    layer below it goes on with the nearest of these and their neighbours, and on the lowest keeps its ef nearest nodes,
+    following the lists of the nearest four not yet followed until there are none.
     """
     points, layers = graph["vectors"].astype(np.float32), graph["layers"]
     q, rows, n = queries.astype(np.float32), np.arange(len(queries)), len(points)
-    at = np.full(len(q), layers[-1][0][0], np.int64)
-    best = np.einsum("qd,qd->q", q, points[at])
-    for nodes, near in reversed(layers[1:]):
+    top = next((k for k in range(1, len(layers)) if len(layers[k][0]) <= CELL), len(layers) - 1)
+    ef, nodes = min(ef, n), layers[top][0]
+    score = q @ points[nodes].T
+    seeds = min(SEEDS, len(nodes), ef)
+    pick = np.argpartition(-score, seeds - 1, axis=1)[:, :seeds]
+    at, best = nodes[pick].astype(np.int64), np.take_along_axis(score, pick, 1)
+    for nodes, near in reversed(layers[1:top]):
         place = np.full(n, -1)
         place[nodes] = np.arange(len(nodes))
-        active = rows
-        while len(active):
-            own = near[place[at[active]]]
-            score = np.where(own >= 0, np.einsum("qd,qkd->qk", q[active], points[own]), -np.inf)
-            j = score.argmax(1)
-            value = score[np.arange(len(active)), j]
-            up = value > best[active]
-            active, moved, value = active[up], own[np.arange(len(own)), j][up], value[up]
-            at[active], best[active] = moved, value
+        more = near[place[at]].reshape(len(q), -1).astype(np.int64)
+        more = np.sort(np.hstack([at, np.where(more < 0, n, more)]), axis=1)
+        more[:, 1:][more[:, 1:] == more[:, :-1]] = n
+        value = np.where(more < n, np.einsum("qd,qkd->qk", q, points[np.minimum(more, n - 1)]), -np.inf)
+        pick = np.argpartition(-value, seeds - 1, axis=1)[:, :seeds]
+        at, best = np.take_along_axis(more, pick, 1), np.take_along_axis(value, pick, 1)
     near = layers[0][1]
-    ef = min(ef, n)
     seen, done = np.zeros((len(q), n + 1), bool), np.zeros((len(q), n + 1), bool)
     held, score = np.full((len(q), ef), n, np.int64), np.full((len(q), ef), -np.inf, np.float32)
-    held[:, 0], score[:, 0] = at, best
-    seen[rows, at] = True
+    held[:, :seeds], score[:, :seeds] = at, best
+    seen[rows[:, None], at] = True
+    seen[:, n] = False
     done[:, n] = True
     active, step = rows, min(4, ef)
     while len(active):
@@ -143,20 +187,26 @@ def search(graph: dict, queries: np.ndarray, ef: int = EF) -> np.ndarray:
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """(vec_id, vector) of the vectors that take part, as doubles: not null, not zero, all components finite, and as
-    many of them as most vectors have (fewer on a tie)."""
+    """(vec_id, vector) of the vectors that take part, as doubles: not null, not zero, all components finite."""
     v = F.col("embedding").cast("array<double>")
     own = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vector")).where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull())
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    own = own.where(~bad & F.exists("vector", lambda x: x != 0))
-    dim = own.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    return own.where(F.size("vector") == (dim["dim"] if dim else 0))
+    return own.where(~bad & F.exists("vector", lambda x: x != 0))
+
+
+def by_length(column, values: dict[int, int]):
+    """The value for a vector's length; lengths that are not there have null."""
+    return F.element_at(F.create_map(*(F.lit(x).cast("long") for item in values.items() for x in item)), F.size(column).cast("long")) if values else F.lit(None).cast("long")
 
 
 def index(vectors: DataFrame, shard_rows: int = SHARD, m: int = M) -> DataFrame:
-    """Vectors (vec_id, vector) -> a row of flat arrays for each shard (INDEX). Rows that share an id are one vector,
-    the least by its components."""
-    shards = max(1, math.ceil(vectors.count() / shard_rows))
+    """Vectors (vec_id, vector) -> a row of flat arrays for each shard (INDEX).
+
+    Vectors of each length have shards of their own, numbered one after another. Rows that share an id and a length are
+    one vector, the least by its components; equal vectors are one node; an empty table gives no shard.
+    """
+    shards = {r.dim: max(1, math.ceil(r["count"] / shard_rows)) for r in vectors.groupBy(F.size("vector").alias("dim")).count().orderBy("dim").collect()}
+    first = {dim: sum(n for d, n in shards.items() if d < dim) for dim in shards}
 
     def made(rows):
         ids = rows.column("vec_id").to_numpy()
@@ -169,7 +219,7 @@ def index(vectors: DataFrame, shard_rows: int = SHARD, m: int = M) -> DataFrame:
         row = {"shard": rows.column("shard")[0].as_py(), "ids": g["ids"].tobytes(), "starts": g["starts"].tobytes(), "vectors": g["vectors"].tobytes(), "dim": x.shape[1], "layers": layers}
         return pa.Table.from_pylist([row], schema=kinds)
 
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
+    dealt = vectors.withColumn("shard", by_length("vector", first) + F.pmod(F.xxhash64("vec_id"), by_length("vector", shards)))
     return dealt.groupBy("shard").applyInArrow(made, INDEX)
 
 
@@ -181,16 +231,20 @@ def opened(row: dict) -> dict:
 
 
 def nearest(built: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF, block_rows: int = BLOCK) -> DataFrame:
-    """Index rows and queries (vec_id, vector) -> query_id, rank, vec_id, score: the k nearest found of each query, its
-    own id left out; nearest first, ties to the smaller id; fewer where there are fewer.
+    """Index rows and queries (vec_id, vector) -> query_id, rank, vec_id, score: the k nearest found of each query among
+    vectors of its length, its own id left out; nearest first, ties to the smaller id; fewer where there are fewer.
 
-    Queries go to blocks by a hash of their id, and each shard's row meets each block once.
+    Queries go to blocks by a hash of their id; each shard's row meets each block once, dealt by both. Queries that share
+    an id and a length are one; an empty table on either side gives no rows.
     """
     spark = built.sparkSession
     blocks = max(1, math.ceil(queries.count() / block_rows))
-    packed = queries.groupBy(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "vector")).alias("asked"))
+    lengths = built.groupBy("dim").agg(F.min("shard").alias("low"), F.max("shard").alias("high")).collect()
+    low, high = ({r.dim: r[c] for r in lengths} for c in ("low", "high"))
+    asked = queries.where(by_length("vector", low).isNotNull()).groupBy(by_length("vector", low).alias("low"), by_length("vector", high).alias("high"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("long").alias("block"))
+    packed = asked.agg(F.collect_list(F.struct("vec_id", "vector")).alias("asked")).select("block", "asked", F.explode(F.sequence("low", "high")).alias("shard"))
     spread = built.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    small_batches(spark, 4)
+    small_batches(spark, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,8 +253,8 @@ def nearest(built: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF, blo
                 asked = sorted({x["vec_id"]: x["vector"] for x in row["asked"]}.items())
                 ids, q = np.array([i for i, _ in asked]), np.array([v for _, v in asked])
                 out: list[tuple[int, int, float]] = []
-                for at in range(0, len(q), 512):
-                    for i, own, nodes in zip(ids[at : at + 512], q[at : at + 512], search(g, q[at : at + 512], ef)):
+                for at in range(0, len(q), 256):
+                    for i, own, nodes in zip(ids[at : at + 256], q[at : at + 256], search(g, q[at : at + 256], ef)):
                         nodes = nodes[nodes >= 0][: 2 * k + 1]
                         exact = g["vectors"][nodes] @ own
                         found: list[tuple[float, int]] = []
@@ -211,7 +265,7 @@ def nearest(built: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF, blo
                 columns = zip(*out) if out else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
-    found = spread.join(packed, "block").mapInArrow(run, "query_id long, vec_id long, score double")
+    found = spread.join(packed, ["shard", "block"]).mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -3,8 +3,9 @@
 Every document gets an exponential key divided by its quality weight, drawn from a hash of its id and size, so that
 reruns agree. A source's budget of words first covers whole epochs, in which each document is taken once; what is
 left goes to its documents in the order of their keys until their prefix sum reaches it, and the document at that
-border gives the part that is missing. Keys are dealt to buckets of a bounded number of documents: bucket sums give
-each bucket the sum before it, and only inside a bucket are documents sorted.
+border gives the part that is missing. Keys are dealt to buckets of about the same number of documents, by the share of
+keys below each that the source's weights lead to: bucket sums give each bucket the sum before it, and only inside a
+bucket are documents sorted.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import free_names, materialize, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in the order of their names, repeating.
@@ -54,24 +55,35 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return per.select("source", "source_size", F.least("most", F.coalesce(free * F.col("weight"), F.col("most"))).alias("target"), "docs")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, seed: int = 11, weight: Column | None = None) -> DataFrame:
-    """One row for each row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken (words).
-
-    taken is at most size times the epochs, whole and fractional, of its source. Null and empty texts have size 0 and
-    are never taken; null sources are one source, the last; null ids and repeated rows stay, each sampled by itself
-    in a fixed order; an empty table gives none; other columns are ignored. weight replaces the quality weight.
-    """
+def bucketed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, seed: int = 11, weight: Column | None = None) -> DataFrame:
+    """doc_id, source, size, key, source_size, target, docs, bucket: mix()'s rows before the prefix sums."""
     text = F.col("text").cast("string")
     size = word_count(text)
     drawn = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(text, F.lit(""))), 256)
     u = (F.conv(F.substring(drawn, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    key = -F.log(u) / (quality(text, size) if weight is None else weight)
-    own = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), key.alias("key")), "mix")
-    per = materialize(targets(own, weights, share, repeats), "targets")
+    weight = (quality(text, size) if weight is None else weight).cast("double")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), weight.alias("weight"), u.alias("u"))
+    own = materialize(own.withColumn("key", -F.log("u") / F.col("weight")).drop("u"), "mix")
+    kinds = own.groupBy(F.col("source").alias("of"), F.floor(F.log2("weight") * 8).alias("kind")).agg(F.avg("weight").alias("w"), F.count(F.lit(1)).alias("n"))
+    kinds = kinds.groupBy("of").agg(F.collect_list(F.struct("w", "n")).alias("kinds"))  # a few tens for each source
+    per = targets(own, weights, share, repeats)
+    per = materialize(per.join(kinds, F.col("source").eqNullSafe(F.col("of"))).drop("of"), "targets")
     buckets = F.greatest(F.ceil(F.col("docs") / BUCKET_DOCS), F.lit(1))
+    below = F.aggregate("kinds", F.lit(0.0), lambda s, x: s + x["n"] * (1.0 - F.exp(-x["w"] * F.col("key")))) / F.col("docs")
     same = own.select(F.col("source").alias("of"), "doc_id", "size", "key")
     rows = same.join(per, F.col("of").eqNullSafe(F.col("source")))
-    rows = rows.withColumn("bucket", F.least(F.floor((1.0 - F.exp(-F.col("key"))) * buckets), buckets - 1).cast("int")).drop("of")
+    return rows.withColumn("bucket", F.least(F.floor(below * buckets), buckets - 1).cast("int")).drop("of", "kinds")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, seed: int = 11, weight: Column | None = None) -> DataFrame:
+    """One row for each row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken (words).
+
+    taken is at most size times the epochs, whole and fractional, of its source. Null and empty texts have size 0 and
+    are never taken; null sources are one source, the last; null ids and repeated rows stay, each sampled by itself
+    in a fixed order; an empty table gives none; other columns are ignored; of a very long text only its size and hash
+    are moved. weight, a positive column, replaces the quality weight.
+    """
+    rows = bucketed(docs, weights, share, repeats, seed, weight)
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("of"), F.col("bucket").alias("at"), F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("base"))
@@ -87,14 +99,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """docs as often as the mix takes each: whole epochs and, where a part is taken, the whole text once more.
 
-    Documents that it does not take go. Rows without an id are told apart by their text; rows that share both are
-    repeated alike.
+    Documents that it does not take go, empty ones among them. Rows without an id are told apart by their text; rows that
+    share both are repeated alike. All columns stay, whatever their names; an empty table gives none.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    ids = docs.withColumn("doc_id", key)
-    times = mix(ids, **how).where("taken > 0").groupBy(F.col("doc_id").alias("__key")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__times"))
-    out = docs.withColumn("__key", key).join(times, "__key")
-    return out.withColumn("__times", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__key", "__times")
+    key, times = free_names(docs, "__key", "__times")
+    own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    taken = mix(docs.withColumn("doc_id", own), **how).where("taken > 0")
+    taken = taken.groupBy(F.col("doc_id").alias(key)).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias(times))
+    out = docs.withColumn(key, own).join(taken, key)
+    return out.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(key, times)
 
 
 def op9_mixing_sources(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Secret scans over a ledger of content-addressed texts.
 
-Every version of every text is addressed by its SHA-256. The ledger, a Parquet folder, holds one row for each pair
-of blob and rule version that was ever scanned, with the spans found. A scan takes the distinct blobs of its input,
+Every version of every text is addressed by its SHA-256, every version of the rules by a hash of them. The ledger, a
+Parquet folder, holds a row for each pair of blob and rule version that was ever scanned, with the spans found. A scan takes the distinct blobs of its input,
 leaves out the pairs that the ledger holds, searches the rest and appends them; findings then go back to all paths
 by address. All of it is DataFrame functions.
 
@@ -11,13 +11,13 @@ Positions come from splitting: between the pieces of ``split(text, rule)`` stand
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import free_names, new_folder, table
 
 SPANS = "array<struct<start:long,kind:int,end:long>>"
 LEDGER = f"blob string, rules string, spans {SPANS}"
@@ -47,7 +47,6 @@ ADDED = (
     Rule("url", r"://[^\s/:@]{1,64}:[^\s/:@]{1,64}@"),
 )
 RULES = BASE + ADDED
-VERSION = "2"
 _KEY = r"[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
 #: What is masked: the rules, but keys with their bodies (to the END line, or without one to the end of the base64 lines)
 #: and links with credentials of any length. Their patterns are Java's only, so the scans keep RULES.
@@ -61,7 +60,11 @@ MASKED = tuple(
     }.get(r.kind, r)
     for r in RULES
 )
-MASKED_VERSION = "2-masked"
+
+
+def version_of(rules: tuple[Rule, ...], label: str = "") -> str:
+    """Names a set of rules: another pattern, group, length, order or label is another version."""
+    return hashlib.sha256(repr((label, [(r.kind, r.pattern, r.group, r.least) for r in rules])).encode()).hexdigest()[:16]
 
 
 def rule_spans(text: Column, rule: Rule, number: int) -> Column:
@@ -88,15 +91,18 @@ def find_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_sort(F.concat(*(rule_spans(text, r, k) for k, r in enumerate(rules))))
 
 
-def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, version: str = VERSION, text_col: str = "text") -> None:
-    """Adds to the ledger every blob of docs that it lacks under this rule version. A null text is the empty one."""
+def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, version: str = "", text_col: str = "text") -> None:
+    """Adds to the ledger every blob of docs that it lacks under these rules. A null text is the empty one.
+
+    Scans that run at the same time may add a pair twice; readers take one of them.
+    """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     blobs = docs.select(F.sha2(text, 256).alias("blob"), text.alias("text")).groupBy("blob").agg(F.any_value("text").alias("text"))
     known = read_ledger(spark, ledger)
     if known is not None:
-        blobs = blobs.join(known.where(F.col("rules") == version).select("blob"), "blob", "left_anti")
-    blobs.select("blob", F.lit(version).alias("rules"), find_spans(F.col("text"), rules).alias("spans")).write.mode("append").parquet(ledger)
+        blobs = blobs.join(known.where(F.col("rules") == version_of(rules, version)).select("blob"), "blob", "left_anti")
+    blobs.select("blob", F.lit(version_of(rules, version)).alias("rules"), find_spans(F.col("text"), rules).alias("spans")).write.mode("append").parquet(ledger)
 
 
 def read_ledger(spark, ledger: str) -> DataFrame | None:
@@ -106,18 +112,20 @@ def read_ledger(spark, ledger: str) -> DataFrame | None:
     return spark.read.schema(LEDGER).parquet(ledger)
 
 
-def findings(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, version: str = VERSION, text_col: str = "text") -> DataFrame:
-    """docs with one more column, secret_spans: the spans of its text.
+def findings(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, version: str = "", text_col: str = "text", name: str = "secret_spans") -> DataFrame:
+    """docs with one more column: the spans of its text. It replaces a column of its name; all others stay.
 
-    Scans what the ledger lacks first; without a ledger a new one is made in the shared folder. Every row stays,
-    repeated ones too; null and empty texts have no spans; an empty table gives none. The column is named so that
-    it replaces one of that name only.
+    Scans what the ledger lacks first; without a ledger a new one is made in the shared folder. Every row stays, repeated
+    ones and those without an id too; null and empty texts have no spans; an empty table gives none. Very long texts are
+    searched whole.
     """
-    ledger = ledger or f"{shared_dir(docs.sparkSession)}/relq-ledger-{uuid.uuid4().hex}"
+    ledger = ledger or new_folder(docs.sparkSession, "ledger")
     scan(docs, ledger, rules, version, text_col)
-    known = read_ledger(docs.sparkSession, ledger).where(F.col("rules") == version).select(F.col("blob").alias("__blob"), F.col("spans").alias("secret_spans"))
+    (blob,) = free_names(docs, "__blob")
+    known = read_ledger(docs.sparkSession, ledger).where(F.col("rules") == version_of(rules, version))
+    known = known.groupBy(F.col("blob").alias(blob)).agg(F.any_value("spans").alias(name))
     address = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
-    return docs.drop("secret_spans", "__blob").withColumn("__blob", address).join(known, "__blob").drop("__blob")
+    return docs.drop(name).withColumn(blob, address).join(known, blob).drop(blob)
 
 
 def redact(text: Column, spans: Column, mark: str = "<SECRET>") -> Column:

@@ -131,6 +131,28 @@ def test_search_recall_and_scores(spark):
     assert hit / (20 * len(by)) >= 0.95
 
 
+def test_vectors_of_other_lengths_have_their_own_neighbours(spark):
+    rng = np.random.default_rng(14)
+    rows = [(i, rng.normal(size=3 if i % 5 == 0 else 8).tolist()) for i in range(200)]
+    own = hnsw.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = hnsw.nearest(hnsw.index(own, shard_rows=50), own.where("vec_id % 20 = 0 or vec_id = 7"), 5).collect()
+    vectors = dict(rows)
+    for q in {r.query_id for r in got} | {0, 7}:
+        best = sorted((-float(np.dot(vectors[q], v)), i) for i, v in rows if i != q and len(v) == len(vectors[q]))[:5]
+        found = sorted((r["rank"], r.vec_id) for r in got if r.query_id == q)
+        assert [v for _, v in found] == [i for _, i in best]
+
+
+def test_graph_of_many_cells_finds_the_nearest():
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(3 * hnsw.CELL, 16)) + 3 * rng.normal(size=(40, 16))[rng.integers(0, 40, 3 * hnsw.CELL)]
+    g = hnsw.build(np.arange(len(x)), x)
+    q = x[::100]
+    found, score = hnsw.search(g, q), q @ g["vectors"].T
+    best = np.argsort(-score, axis=1)[:, :20]
+    assert np.mean([len(set(f[:20].tolist()) & set(b.tolist())) / 20 for f, b in zip(found, best)]) >= 0.95
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(i, [1.0, float(i)], 0) for i in range(3)], "vec_id long, embedding array<float>, label int")
     own = hnsw.usable(df)
