@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, new_folder, table
+from .common import free_names, materialize, new_folder, table
 
 SPANS = "array<struct<start:long,kind:int,end:long>>"
 LEDGER = f"blob string, rules string, spans {SPANS}"
@@ -119,11 +119,13 @@ def findings(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...]
     ones and those without an id too; null and empty texts have no spans; an empty table gives none. Very long texts are
     searched whole.
     """
-    ledger = ledger or new_folder(docs.sparkSession, "ledger")
+    given, ledger = ledger, ledger or new_folder(docs.sparkSession, "ledger")
     scan(docs, ledger, rules, version, text_col)
     (blob,) = free_names(docs, "__blob")
     known = read_ledger(docs.sparkSession, ledger).where(F.col("rules") == version_of(rules, version))
-    known = known.groupBy(F.col("blob").alias(blob)).agg(F.any_value("spans").alias(name))
+    if given:  # others may have added a pair too; written first, so that Spark can split a hot address of the join below
+        known = materialize(known.groupBy("blob").agg(F.any_value("spans").alias("spans")), "known")
+    known = known.select(F.col("blob").alias(blob), F.col("spans").alias(name))
     address = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
     return docs.drop(name).withColumn(blob, address).join(known, blob).drop(blob)
 
