@@ -68,16 +68,26 @@ class VersionConflict(RelqError):
         super().__init__(None, f"version conflict: {detail}")
 
 
+class StatementTimeout(RelqError):
+    """A statement ran longer than its limit and was cancelled."""
+
+    def __init__(self, seconds: float) -> None:
+        super().__init__(None, f"statement cancelled after {seconds} s")
+
+
 #: Error conditions of Spark by what a caller should do about them.
-_CLIENT = ("DIVIDE_BY_ZERO", "ARITHMETIC_OVERFLOW", "CAST_INVALID_INPUT", "CAST_OVERFLOW", "SCALAR_SUBQUERY_TOO_MANY_ROWS", "NUMERIC_VALUE_OUT_OF_RANGE")
+_TRANSIENT = ("ExecutorLostFailure", "FetchFailed", "Connection reset", "Connection refused", "Py4JNetworkError")
+_CLIENT =("DIVIDE_BY_ZERO", "ARITHMETIC_OVERFLOW", "CAST_INVALID_INPUT", "CAST_OVERFLOW", "SCALAR_SUBQUERY_TOO_MANY_ROWS", "NUMERIC_VALUE_OUT_OF_RANGE")
 
 
 def classify(error: BaseException) -> str:
-    """retryable, client_input, or other."""
+    """retryable (the transaction, as others were first), transient (lost executors and connections), client_input, or other."""
     if isinstance(error, VersionConflict):
         return "retryable"
     if isinstance(error, RelqError):
         return "client_input" if error.client_input else "other"
+    if isinstance(error, ConnectionError) or any(x in type(error).__name__ or x in str(error) for x in _TRANSIENT):
+        return "transient"
     condition = getattr(error, "getCondition", lambda: None)() or ""
     if any(c in condition or c in str(error) for c in _CLIENT):
         return "client_input"

@@ -6,15 +6,17 @@ import contextlib
 import contextvars
 import datetime as dt
 import logging
+import threading
 import time
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 
-from ..errors import RelqError
+from ..errors import RelqError, StatementTimeout
 from ..plans.compiler import Compiler
 from ..sources.entity import Catalog, Entity
 from ..streaming.rows import RowStream
@@ -112,11 +114,51 @@ class Diagnostics:
                 log.warning("one statement ran %d times in this scope: load it once, or preload", self.repeats)
 
 
+@contextlib.contextmanager
+def limited(spark: SparkSession, seconds: float | None) -> Iterator[None]:
+    """Cancels the jobs that this thread starts in the block once it took so many seconds, and raises StatementTimeout."""
+    if seconds is None:
+        yield
+        return
+    sc, tag, done, late = spark.sparkContext, f"relq-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def watch() -> None:
+        wait = seconds
+        while not done.wait(wait):  # again and again: a statement may start further jobs
+            late.set()
+            sc.cancelJobsWithTag(tag)
+            wait = 0.1
+
+    sc.addJobTag(tag)
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        yield
+    except Exception as e:
+        if late.is_set():
+            raise StatementTimeout(seconds) from e
+        raise
+    finally:
+        done.set()
+        watcher.join()
+        sc.removeJobTag(tag)
+    if late.is_set():
+        raise StatementTimeout(seconds)
+
+
 class Repo:
-    """A catalog to run queries on. Reads see the catalog as it is; a transaction gives a repo of its own."""
+    """A catalog to run queries on. Reads see the catalog as it is; a transaction gives a repo of its own.
 
-    def __init__(self, catalog: Catalog, diagnostics: Diagnostics | None = None, now: dt.datetime | None = None) -> None:
-        self.catalog, self.diagnostics, self.now = catalog, diagnostics or Diagnostics(), now
+    A read that takes longer than timeout, in seconds, is cancelled with StatementTimeout.
+    """
+
+    def __init__(self, catalog: Catalog, diagnostics: Diagnostics | None = None, now: dt.datetime | None = None, timeout: float | None = None) -> None:
+        self.catalog, self.diagnostics, self.now, self.timeout = catalog, diagnostics or Diagnostics(), now, timeout
+
+    @contextlib.contextmanager
+    def _statement(self, operation: str, df: DataFrame) -> Iterator[None]:
+        with self.diagnostics.timed(operation, df), limited(self.catalog.spark, self.timeout):
+            yield
 
     # the ambient repository
     @contextlib.contextmanager
@@ -142,7 +184,7 @@ class Repo:
 
     def all(self, q: Any) -> list[Row]:
         df = self.frame(q)
-        with self.diagnostics.timed("all", df):
+        with self._statement("all", df):
             return df.collect()
 
     def into(self, q: Any, kind: Callable[..., Any]) -> list[Any]:
@@ -152,7 +194,7 @@ class Repo:
     def one(self, q: Any) -> Row | None:
         """The only row, or None; more than one is error 4103. An explicit limit stays."""
         df = self.frame(q if getattr(q, "limit_", None) is not None else q.limit(2))
-        with self.diagnostics.timed("one", df):
+        with self._statement("one", df):
             rows = df.collect()
         if len(rows) > 1:
             raise RelqError(4103)
@@ -167,12 +209,12 @@ class Repo:
 
     def count(self, q: Any) -> int:
         df = self._unsliced(q)
-        with self.diagnostics.timed("count", df):
+        with self._statement("count", df):
             return df.count()
 
     def exists(self, q: Any) -> bool:
         df = self._unsliced(q)
-        with self.diagnostics.timed("exists", df):
+        with self._statement("exists", df):
             return not df.isEmpty()
 
     def page(self, q: Query, request: PageRequest) -> Page:

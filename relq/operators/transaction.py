@@ -1,9 +1,10 @@
 """Transactions over the versioned store: staged overlays, savepoints, retries, and named multi-step work.
 
-A transaction reads each table at the version it first saw, stages changed tables in folders of their own, and on
-commit publishes them; a table changed by others meanwhile, or read with a lock, makes it fail with VersionConflict.
-That check is on whole tables, weaker than row locks in concurrency and no weaker in what it lets through. Several
-tables are published one after another, so a reader between two of them may see the first only.
+A transaction reads each table at the version it first saw (or as ISOLATION says), stages changed tables in folders of
+their own, and on commit publishes them; a table it changed or read with a lock, and that others changed meanwhile, makes
+it fail with VersionConflict. That check is on whole tables, weaker than row locks in concurrency. A changed table is
+checked again by its publishing; tables only read are checked right before the first one is published, and several
+tables are published one after another, so another writer or a reader between two of them may come between.
 """
 
 from __future__ import annotations
@@ -27,18 +28,28 @@ from ..sources.entity import Entity
 from ..sources.store import Store
 from . import write
 from .query import Query
-from .repo import Diagnostics, Repo
+from .repo import Diagnostics, Repo, limited
 
 
 #: Folders of a table from which an insert writes it anew as one.
 COMPACT = 64
 
 
+#: read_committed: each statement sees what was published before it. repeatable_read: all see the versions first seen.
+#: serializable: moreover a commit that changes a table fails where any table of the transaction was changed by others.
+ISOLATION = ("read_committed", "repeatable_read", "serializable")
+
+
 class Session:
-    """Reads and writes of one transaction."""
+    """Reads and writes of one transaction. A statement that takes longer than timeout, in seconds, is cancelled."""
 
-    def __init__(self, store: Store, entities: list[type[Entity]], observers: tuple[Callable[[str], None], ...] = ()) -> None:
+    def __init__(
+        self, store: Store, entities: list[type[Entity]], observers: tuple[Callable[[str], None], ...] = (), isolation: str = "repeatable_read", timeout: float | None = None
+    ) -> None:
+        if isolation not in ISOLATION:
+            raise RelqError(None, f"isolation {isolation!r} is none of {', '.join(ISOLATION)}")
         self.store, self.entities, self.observers = store, {e.__table__: e for e in entities}, observers
+        self.isolation, self.timeout = isolation, timeout
         self.versions = {n: store.version(n) for n in self.entities}
         self.overlay: dict[str, list[str]] = {}
         self.made: list[tuple[type[Entity], str]] = []
@@ -59,20 +70,38 @@ class Session:
         self.made.append((entity, name))
         return [name]
 
-    @property
-    def repo(self) -> Repo:
+    def _refresh(self) -> None:
+        """Under read_committed, the tables as they are now, but for those changed or locked here."""
+        if self.isolation == "read_committed":
+            for n in self.versions.keys() - self.overlay.keys() - self.checked:
+                self.versions[n] = self.store.version(n)
+
+    @contextlib.contextmanager
+    def _statement(self) -> Iterator[None]:
+        self._refresh()
+        with limited(self.store.spark, self.timeout):
+            yield
+
+    def _repo(self) -> Repo:
         from ..sources.entity import Catalog
 
-        return Repo(Catalog(self.store.spark, None, {n: self.rows(e) for n, e in self.entities.items()}), Diagnostics(), self.now)
+        return Repo(Catalog(self.store.spark, None, {n: self.rows(e) for n, e in self.entities.items()}), Diagnostics(), self.now, self.timeout)
+
+    @property
+    def repo(self) -> Repo:
+        """Reads of the tables as this transaction sees them at the call."""
+        self._refresh()
+        return self._repo()
 
     def all(self, q: Any) -> list[Row]:
+        own = self.repo
         if getattr(q, "lock", None):
             self.checked.add(q.source.__table__)
-        return self.repo.all(q)
+        return own.all(q)
 
     # writing
     def _compiler(self) -> Compiler:
-        return Compiler(self.repo.catalog, self.now)
+        return Compiler(self._repo().catalog, self.now)
 
     def _put(self, entity: type[Entity], after: DataFrame, hit: DataFrame) -> int:
         n = hit.count()
@@ -106,6 +135,10 @@ class Session:
         Without a conflict clause the rows are written once, beside the table's: their keys are looked up among the
         stored ones, and nothing else is read or written again, until a table has COMPACT folders.
         """
+        with self._statement():
+            return self._insert(entity, rows, on_conflict)
+
+    def _insert(self, entity: type[Entity], rows: list[dict] | DataFrame, on_conflict: write.OnConflict | None) -> DataFrame:
         present, name = self.rows(entity), entity.__table__
         batch = write.generated(entity, self._batch(entity, rows), present)
         if on_conflict is not None:
@@ -127,18 +160,22 @@ class Session:
         return batch
 
     def update(self, q: Query, **changes: Any) -> int:
-        return self._put(q.source, *write.updated(self._compiler(), self.rows(q.source), q, **changes))
+        with self._statement():
+            return self._put(q.source, *write.updated(self._compiler(), self.rows(q.source), q, **changes))
 
     def delete(self, q: Query) -> int:
-        return self._put(q.source, *write.removed(self._compiler(), self.rows(q.source), q))
+        with self._statement():
+            return self._put(q.source, *write.removed(self._compiler(), self.rows(q.source), q))
 
     force_delete = delete
 
     def soft_delete(self, q: Query) -> int:
-        return self._put(q.source, *write.soft_deleted(self._compiler(), self.rows(q.source), q, self.now.replace(tzinfo=None)))
+        with self._statement():
+            return self._put(q.source, *write.soft_deleted(self._compiler(), self.rows(q.source), q, self.now.replace(tzinfo=None)))
 
     def restore(self, q: Query) -> int:
-        return self._put(q.source, *write.restored(self._compiler(), self.rows(q.source), q))
+        with self._statement():
+            return self._put(q.source, *write.restored(self._compiler(), self.rows(q.source), q))
 
     def _row(self, entity: type[Entity], row: Any) -> Query:
         values = row.asDict() if isinstance(row, Row) else dict(row)
@@ -182,7 +219,8 @@ class Session:
     def commit(self) -> None:
         if self.failed:
             raise RelqError(4101)
-        for n in sorted(self.checked | set(self.overlay)):
+        checked = self.versions if self.isolation == "serializable" and self.overlay else self.checked | set(self.overlay)
+        for n in sorted(checked):
             if self.store.version(n) != self.versions[n]:
                 raise VersionConflict(n)
         for n in sorted(self.overlay):
@@ -193,9 +231,11 @@ class Session:
 
 
 @contextlib.contextmanager
-def transaction(store: Store, entities: list[type[Entity]], observers: tuple[Callable[[str], None], ...] = ()) -> Iterator[Session]:
+def transaction(
+    store: Store, entities: list[type[Entity]], observers: tuple[Callable[[str], None], ...] = (), isolation: str = "repeatable_read", timeout: float | None = None
+) -> Iterator[Session]:
     """Publishes what the block staged, or nothing where it raises."""
-    own = Session(store, entities, observers)
+    own = Session(store, entities, observers, isolation, timeout)
     try:
         yield own
         own.commit()
@@ -207,11 +247,13 @@ def transaction(store: Store, entities: list[type[Entity]], observers: tuple[Cal
         raise
 
 
-def with_retries(store: Store, entities: list[type[Entity]], body: Callable[[Session], Any], attempts: int = 5, first_wait: float = 0.05) -> Any:
+def with_retries(
+    store: Store, entities: list[type[Entity]], body: Callable[[Session], Any], attempts: int = 5, first_wait: float = 0.05, isolation: str = "repeatable_read", timeout: float | None = None
+) -> Any:
     """Runs the body in a transaction, again after a version conflict, waiting twice as long each time, with jitter."""
     for n in range(attempts):
         try:
-            with transaction(store, entities) as own:
+            with transaction(store, entities, isolation=isolation, timeout=timeout) as own:
                 out = body(own)
             return out
         except VersionConflict as e:

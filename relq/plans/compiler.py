@@ -296,15 +296,26 @@ class Scope:
         return self.sub(q.limit(1)).scalar()
 
     def _scalar_count(self, q, type):  # noqa: A002
+        """The rows of a correlated query. Groups and distinct rows are counted by their distinct keys, as Spark resolves the
+        names of a grouping before those of the queries around it are known."""
         from dataclasses import replace
 
-        plain = replace(q, selection=(("n", Expr("aggregate", ("count", Expr("literal", (1,)), None))),), order=(), limit_=None, offset_=0, preloads=())
-        if q.grouped or q.distinct_:
+        if q.having_ is not None or (q.distinct_ and (q.grouped or any(e.has_window() for _, e in q.selection))):
             from ..errors import Unsupported
 
-            raise Unsupported("counting a grouped or distinct correlated query")
+            raise Unsupported("counting a correlated query with HAVING, or with DISTINCT over groups or windows")
+        if q.grouped and not q.group:  # an aggregate over everything is one row
+            return F.lit(1).cast("long")
+        counted = ("count", Expr("literal", (1,)), None)
+        if q.group or q.distinct_:
+            every = tuple(e for _, e in q.selection) or tuple(Expr("column", (q.alias, n), t) for n, t in q.outputs())
+            counted = ("count_distinct", Expr("struct", q.group or (every if q.distinct_ is True else q.distinct_)), None)
+        plain = replace(q, selection=(("n", Expr("aggregate", counted)),), group=(), distinct_=False, order=(), limit_=None, offset_=0, preloads=())
         return self.sub(plain).scalar()
 
+    def _struct(self, *parts, type):  # noqa: A002
+        return F.struct(*(self.column(p).alias(f"k{i}") for i, p in enumerate(parts)))
+
     def _and(self, a, b, type):  # noqa: A002
         return self.column(a) & self.column(b)
 

@@ -557,7 +557,19 @@ def _():
     return Customer.select(lambda c: {"c_custkey": c.c_custkey, "n": scalar_count(Orders.where(lambda o: (o.o_custkey == c.c_custkey) & (o.o_orderstatus == "P")))})
 
 
-@registered("scalar_lookup", "SELECT c_custkey, (SELECT n_name FROM nation WHERE n_nationkey = c_nationkey AND n_regionkey < 3) AS nation FROM customer")
+@registered(
+    "scalar_count_of_groups",
+    """SELECT c_custkey, (SELECT count(*) FROM (SELECT o_orderstatus FROM orders WHERE o_custkey = c_custkey GROUP BY 1)) AS g,
+    (SELECT count(*) FROM (SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)) AS d FROM customer""",
+)
+def _():
+    own = lambda c: Orders.where(lambda o: o.o_custkey == c.c_custkey)
+    groups = lambda c: own(c).group_by(lambda o: o.o_orderstatus).select(s=lambda o: o.o_orderstatus, n=count_rows())
+    pairs = lambda c: own(c).where(lambda o: o.o_totalprice > 100000.0).select(s=lambda o: o.o_orderstatus, p=lambda o: o.o_orderpriority).distinct()
+    return Customer.select(lambda c: {"c_custkey": c.c_custkey, "g": scalar_count(groups(c)), "d": scalar_count(pairs(c))})
+
+
+@registered("scalar_lookup","SELECT c_custkey, (SELECT n_name FROM nation WHERE n_nationkey = c_nationkey AND n_regionkey < 3) AS nation FROM customer")
 def _():
     return Customer.select(lambda c: {"c_custkey": c.c_custkey, "nation": scalar(Nation.where(lambda n: (n.n_nationkey == c.c_nationkey) & (n.n_regionkey < 3)).select(n=lambda n: n.n_name))})
 
@@ -817,7 +829,21 @@ def _(c, store):
     return store.read(Supplier).withColumn("refused", F.lit(refused(late.commit)))
 
 
-@registered("multi_steps", "SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_suppkey = 5 THEN 7 ELSE s_acctbal END AS s_acctbal, 'broken' AS failed_step FROM supplier WHERE s_suppkey <> 4")
+@registered("isolation_levels", "SELECT *, (SELECT count(*) FROM supplier) AS steady, (SELECT count(*) FROM supplier) - 1 AS fresh, true AS strict_refused FROM supplier WHERE s_suppkey <> 1")
+@stored
+def _(c, store):
+    """What another commits between is seen by read_committed only, and makes a serializable writer fail."""
+    filled(c, store, Supplier, Nation)
+    steady, fresh, strict = (Session(store, [Supplier, Nation], isolation=x) for x in ("repeatable_read", "read_committed", "serializable"))
+    with transaction(store, [Supplier]) as t:
+        t.delete_row(Supplier, {"s_suppkey": 1})
+    strict.delete(Nation.where(lambda n: n.n_nationkey == 0))
+    seen = {"steady": steady.repo.count(Supplier.query()), "fresh": fresh.repo.count(Supplier.query())}
+    rows = store.read(Supplier).withColumns({n: F.lit(v).cast("long") for n, v in seen.items()})
+    return rows.withColumn("strict_refused", F.lit(refused(strict.commit)))
+
+
+@registered("multi_steps","SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_suppkey = 5 THEN 7 ELSE s_acctbal END AS s_acctbal, 'broken' AS failed_step FROM supplier WHERE s_suppkey <> 4")
 @stored
 def _(c, store):
     """Named steps of one transaction; a failing step undoes all of its run and is named."""
@@ -879,6 +905,47 @@ def _():
     return lambda c: c.query(q).select("o_orderkey", F.size("parts").cast("long").alias("n"), F.array_max(F.transform("parts", lambda x: x["p_name"])).alias("last"))
 
 
+@registered("preload_nullable_parent", f"SELECT a.id, b.id AS parent, b.size FROM {NODES} a LEFT JOIN {NODES} b ON b.id = a.parent_id")
+def _():
+    """L4: a row without a parent has none."""
+    q = Node.preload("parent")
+    return lambda c: c.query(q).select("id", F.col("parent.id").alias("parent"), F.col("parent.size").alias("size"))
+
+
+@registered("preload_nullable_children", f"SELECT a.id, count(b.id) AS n, coalesce(sum(b.size), 0)::BIGINT AS s FROM {NODES} a LEFT JOIN {NODES} b ON b.parent_id = a.id GROUP BY 1")
+def _():
+    """L2: rows whose key is null are nobody's children."""
+    q = Node.preload("children")
+    sizes = F.aggregate("children", F.lit(0).cast("long"), lambda a, x: a + x["size"])
+    return lambda c: c.query(q).select("id", F.size("children").cast("long").alias("n"), sizes.alias("s"))
+
+
+@registered("preload_over_join", "SELECT o_orderkey, c_name, count(l_partkey) AS n FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE c_acctbal > 5000 GROUP BY 1, 2")
+def _():
+    """Associations of the base rows of a join."""
+    q = Orders.join(Customer, lambda o, c: c.c_custkey == o.o_custkey).where(lambda o, c: c.c_acctbal > 5000.0).preload("customer").preload("parts")
+    return lambda c: c.query(q).select("o_orderkey", F.col("customer.c_name").alias("c_name"), F.size("parts").cast("long").alias("n"))
+
+
+# single answers
+
+
+@registered("exists_one_count", "SELECT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'P') AS found, EXISTS (SELECT 1 FROM orders WHERE o_totalprice < 0) AS missed, (SELECT n_name FROM nation WHERE n_nationkey = 3) AS name, (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS n, true AS several_refused")
+def _():
+    """A17, O5."""
+
+    def run(c):
+        from ..operators.repo import Repo
+
+        repo = Repo(c.catalog)
+        found, missed = repo.exists(Orders.where(lambda o: o.o_orderstatus == "P")), repo.exists(Orders.where(lambda o: o.o_totalprice < 0.0))
+        name, n = repo.one(Nation.where(lambda x: x.n_nationkey == 3)).n_name, repo.count(Customer.where(lambda x: x.c_acctbal > 0.0))
+        row = (found, missed, name, n, refused(lambda: repo.one(Nation.query())))
+        return c.spark.createDataFrame([row], "found boolean, missed boolean, name string, n long, several_refused boolean")
+
+    return run
+
+
 # rows read lazily
 
 

@@ -93,6 +93,8 @@ class Node(Entity, table="nodes"):
     id = Field("long", key=True)
     parent_id = Field("long", nullable=True)
     size = Field("int")
+    parent = belongs_to(lambda: Node, "parent_id")
+    children = has_many(lambda: Node, "parent_id")
 
 
 class Edge(Entity, table="walk_nodes"):

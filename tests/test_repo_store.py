@@ -6,7 +6,7 @@ from dataclasses import dataclass
 import pytest
 from pyspark.sql import functions as F
 
-from relq.errors import RelqError, VersionConflict, classify
+from relq.errors import RelqError, StatementTimeout, VersionConflict, classify
 from relq.functions import fragment, now, scalar
 from relq.operators.repo import Diagnostics, PageRequest, Repo, loaded
 from relq.operators.transaction import Failure, Multi, Session, transaction, with_retries
@@ -15,7 +15,7 @@ from relq.plans.compiler import Compiler
 from relq.plans.queries import catalog
 from relq.sources import Catalog, Entity, Field, belongs_to
 from relq.sources.introspect import source_of
-from relq.sources.star import Customer, Nation, Orders
+from relq.sources.star import Customer, Nation, Note, Orders
 from relq.sources.store import Store
 
 
@@ -249,6 +249,56 @@ def test_transactions(store):
     assert e.value.code == 4101
 
 
+def test_isolation_levels(store):
+    def add(name):
+        with transaction(store, [Entry]) as t:
+            t.insert(Entry, [{"name": name}])
+
+    add("a")
+    steady, fresh = Session(store, [Entry]), Session(store, [Entry], isolation="read_committed")
+    add("b")
+    assert len(steady.all(Entry.query())) == 1 and len(fresh.all(Entry.query())) == 2
+    assert steady.repo.count(Entry.query()) == 1 and fresh.update(Entry.query(), value="v") == 2
+    fresh.commit()
+    assert names(store) == {("a", "v"), ("b", "v")}
+    for lock in (False, True):  # changed or locked, then changed by another: even the freshest reads do not hide that
+        late = Session(store, [Entry], isolation="read_committed")
+        late.all(Entry.query().lock_for_update()) if lock else late.update(Entry.query(), value="w")
+        add("c")
+        late.all(Entry.query())
+        with pytest.raises(VersionConflict):
+            late.commit()
+
+    def reads_one_and_writes_other(level):
+        t = Session(store, [Entry, Note], isolation=level)
+        t.all(Entry.query())
+        t.insert(Note, [{"name": level, "version": 0}])
+        add("d")
+        t.commit()
+
+    reads_one_and_writes_other("repeatable_read")
+    with pytest.raises(VersionConflict):
+        reads_one_and_writes_other("serializable")
+    assert [r.name for r in store.read(Note).collect()] == ["repeatable_read"]
+    reader = Session(store, [Entry], isolation="serializable")
+    add("e")
+    reader.commit()
+    with pytest.raises(RelqError):
+        Session(store, [Entry], isolation="odd")
+
+
+def test_statements_have_a_limit(repo, store, spark):
+    slow = lambda e: fragment("reflect('java.lang.Thread', 'sleep', bigint({})) IS NULL", 2000)
+    with pytest.raises(StatementTimeout):
+        Repo(repo.catalog, timeout=0.3).all(Nation.where(slow))
+    assert Repo(repo.catalog, timeout=60).count(Nation.query()) == 25
+    with transaction(store, [Entry], timeout=60) as t:
+        t.insert(Entry, [{"name": "a"}, {"name": "b"}])
+    with pytest.raises(StatementTimeout), transaction(store, [Entry], timeout=0.3) as t:
+        t.delete(Entry.where(slow))
+    assert names(store) == {("a", None), ("b", None)} and len(spark.sparkContext.getJobTags()) == 0
+
+
 def test_multi(store):
     add = Multi().step("a", lambda tx, done: tx.insert(Entry, [{"name": "a"}]).count()).step("b", lambda tx, done: done["a"] + 1)
     assert add.run(store, [Entry]) == {"a": 1, "b": 2}
