@@ -198,6 +198,23 @@ class Session:
         if self.delete(self._row(entity, row)) == 0:
             raise RelqError(4104, entity.__name__)
 
+    def debug_plan(self, kind: str, what: Any, *given: Any, **changes: Any) -> str:
+        """The logical plan, unoptimised, of the table after a write that is not made: ("update", query, changes...),
+        ("delete", query) or ("insert", entity, rows, conflict clause)."""
+        self._refresh()
+        entity = what.source if isinstance(what, Query) else what
+        compiler, present = self._compiler(), self.rows(entity)
+        if kind == "insert":
+            batch = write.generated(entity, self._batch(entity, given[0]), present)
+            after = write.upserted(compiler, present, entity, batch, given[1])[0] if given[1:] else present.unionByName(batch)
+        elif kind == "update":
+            after = write.updated(compiler, present, what, **changes)[0]
+        elif kind == "delete":
+            after = write.removed(compiler, present, what)[0]
+        else:
+            raise RelqError(None, f"no write is named {kind}")
+        return after._jdf.queryExecution().logical().toString()
+
     # savepoints
     @contextlib.contextmanager
     def savepoint(self) -> Iterator[Session]:

@@ -299,6 +299,21 @@ def test_statements_have_a_limit(repo, store, spark):
     assert names(store) == {("a", None), ("b", None)} and len(spark.sparkContext.getJobTags()) == 0
 
 
+def test_plans_of_writes(store):
+    t = Session(store, [Entry])
+    hit = Entry.where(lambda e: e.name == "a")
+    assert "Filter" in t.debug_plan("delete", hit) and "CASE WHEN" in t.debug_plan("update", hit, value="x")
+    assert "Union" in t.debug_plan("insert", Entry, [{"name": "a"}])
+    assert "FullOuter" in t.debug_plan("insert", Entry, [{"name": "a"}], OnConflict.do_nothing("name"))
+    assert not t.overlay and not t.made
+    with pytest.raises(RelqError):
+        t.debug_plan("merge", hit)
+
+
+def test_errors_by_what_to_do():
+    assert [classify(e) for e in (VersionConflict("t"), ConnectionResetError(), RuntimeError("ExecutorLostFailure (executor 1 exited)"), RelqError(4113), ValueError())] == ["retryable", "transient", "transient", "client_input", "other"]
+
+
 def test_multi(store):
     add = Multi().step("a", lambda tx, done: tx.insert(Entry, [{"name": "a"}]).count()).step("b", lambda tx, done: done["a"] + 1)
     assert add.run(store, [Entry]) == {"a": 1, "b": 2}
