@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import enum
 import uuid
 from collections.abc import Callable
 from typing import Any
@@ -17,7 +18,7 @@ from ..operators.transaction import Multi, Session, transaction, with_retries
 from ..operators.write import OnConflict, all_rows, removed, restored, soft_deleted, updated, upserted
 from ..sources.entity import Catalog
 from ..sources.shared import shared_folder
-from ..sources.star import Customer, Edge, Event, FiledOrder, Lineitem, Nation, Node, Note, Orders, Part, Region, Supplier
+from ..sources.star import Customer, Debtor, Edge, Event, FiledOrder, HeldNation, Lineitem, Nation, Node, Note, Orders, Part, Region, Supplier
 from ..sources.store import Store
 from .compiler import Compiler
 
@@ -37,14 +38,18 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         parent = F.when(F.col("p_partkey") > 1, F.expr("p_partkey div 2"))
         return own.frame(Part).where("p_partkey > 0").select(F.col("p_partkey").alias("id"), parent.alias("parent_id"), F.col("p_size").alias("size"))
 
+    debtors = lambda: own.frame(Supplier).select("s_suppkey", F.when(F.col("s_nationkey") != 7, F.col("s_acctbal") < 0).alias("in_debt"))
     edges = lambda: spark.createDataFrame([("root", "c"), ("b", "root"), ("c", "b")], "id string, parent_id string")
-    return own.with_frames({"filed_orders": filed, "nodes": nodes, "walk_nodes": edges})
+    return own.with_frames({"filed_orders": filed, "nodes": nodes, "walk_nodes": edges, "debtors": debtors})
 
 
 FILED = "(SELECT o_orderkey, o_custkey, o_totalprice, nullif(o_orderpriority, '5-LOW') AS priority, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS deleted_at FROM orders)"
 NODES = "(SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent_id, p_size AS size FROM part WHERE p_partkey > 0)"
 
 
+DEBTORS = "(SELECT s_suppkey, CASE WHEN s_nationkey <> 7 THEN s_acctbal < 0 END AS in_debt FROM supplier)"
+
+
 def registered(name: str, sql: str):
     def add(make: Callable[[], Any]):
         _made[name] = ((lambda c: made(c) if callable(made := make()) else c.query(made)), sql)
@@ -474,21 +479,6 @@ def _():
     return combine("union", Customer.select(k=lambda c: c.c_nationkey), Supplier.select(k=lambda s: s.s_nationkey))
 
 
-@registered("union_all", "SELECT * FROM orders WHERE o_orderkey < 300 UNION ALL SELECT * FROM orders WHERE o_orderkey < 100")
-def _():
-    return Orders.where(lambda o: o.o_orderkey < 300).union_all(Orders.where(lambda o: o.o_orderkey < 100))
-
-
-@registered("intersect", "SELECT * FROM orders WHERE o_orderkey < 3000 INTERSECT SELECT * FROM orders WHERE o_orderstatus = 'F'")
-def _():
-    return Orders.where(lambda o: o.o_orderkey < 3000).intersect(Orders.where(lambda o: o.o_orderstatus == "F"))
-
-
-@registered("except", "SELECT o_custkey AS k FROM orders WHERE o_orderkey < 9000 EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0")
-def _():
-    return combine("except", Orders.where(lambda o: o.o_orderkey < 9000).select(k=lambda o: o.o_custkey), Customer.where(lambda c: c.c_acctbal > 0.0).select(k=lambda c: c.c_custkey))
-
-
 @registered("union_then_filter", "SELECT * FROM (SELECT * FROM orders WHERE o_orderstatus = 'F' UNION SELECT * FROM orders WHERE o_orderstatus = 'P') WHERE o_totalprice > 250000 ORDER BY o_orderkey LIMIT 50")
 def _():
     q = Orders.where(lambda o: o.o_orderstatus == "F").union(Orders.where(lambda o: o.o_orderstatus == "P"))
@@ -507,15 +497,6 @@ def _():
     return combine("union_all", a, b).order_by("id").order_by("kind").limit(30).offset(10)
 
 
-@registered("union_intersect_left", "(SELECT c_nationkey AS k FROM customer WHERE c_nationkey < 10 UNION SELECT s_nationkey FROM supplier) INTERSECT SELECT n_nationkey FROM nation WHERE n_regionkey = 1")
-def _():
-    a, b = Customer.where(lambda c: c.c_nationkey < 10).select(k=lambda c: c.c_nationkey), Supplier.select(k=lambda s: s.s_nationkey)
-    return combine("union", a, b).intersect(Nation.where(lambda n: n.n_regionkey == 1).select(k=lambda n: n.n_nationkey))
-
-
-# the same over whole tables, without bounds on ids or rows
-
-
 @registered("union_all_whole", "SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderstatus = 'F'")
 def _():
     return Orders.query().union_all(Orders.where(lambda o: o.o_orderstatus == "F"))
@@ -600,12 +581,6 @@ def _():
     return Customer.left_join(t, lambda c, t: (t.k == c.c_custkey) & (t.n > 10)).select(lambda c, t: {"c_custkey": c.c_custkey, "n": t.n})
 
 
-@registered("cte_reading_from", "WITH recent AS (SELECT * FROM orders WHERE o_orderkey > 5000 ORDER BY o_orderkey LIMIT 500) SELECT o_orderstatus, count(*) AS n FROM recent GROUP BY 1")
-def _():
-    recent = Orders.where(lambda o: o.o_orderkey > 5000).order_by(lambda o: o.o_orderkey).limit(500).cte("recent")
-    return Orders.query().reading_from(recent).group_by(lambda o: o.o_orderstatus).select(lambda o: {"o_orderstatus": o.o_orderstatus, "n": count_rows()})
-
-
 @registered("recursive_tree", f"WITH RECURSIVE n AS (SELECT * FROM {NODES}), t AS (SELECT id, size, 0 AS depth FROM n WHERE id = 3 UNION ALL SELECT n.id, n.size, depth + 1 FROM n JOIN t ON n.parent_id = t.id) SELECT id, size FROM t")
 def _():
     anchor = Node.where(lambda n: n.id == 3).select(id=lambda n: n.id, size=lambda n: n.size)
@@ -958,3 +933,89 @@ def _():
             return c.spark.createDataFrame([(r.k,) for r in rows], "o_orderkey long")
 
     return run
+
+
+# single columns, lists, names and statements
+
+
+@registered("boolean_column", f"SELECT s_suppkey FROM {DEBTORS} WHERE in_debt")
+def _():
+    """a boolean column is a predicate by itself; null is not true."""
+    return Debtor.where(lambda d: d.in_debt).select(s_suppkey=lambda d: d.s_suppkey)
+
+
+@registered("boolean_column_negated", f"SELECT s_suppkey FROM {DEBTORS} WHERE NOT in_debt AND s_suppkey > 1")
+def _():
+    return Debtor.where(lambda d: ~d.in_debt & (d.s_suppkey > 1)).select(s_suppkey=lambda d: d.s_suppkey)
+
+
+class Status(enum.Enum):
+    FINISHED, OPEN, PENDING = "F", "O", "P"
+
+
+@registered("enum_list", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'P') GROUP BY 1")
+def _():
+    """F12."""
+    return Orders.where(lambda o: o.o_orderstatus.in_([Status.FINISHED, Status.PENDING])).group_by(lambda o: o.o_orderstatus).select(lambda o: {"o_orderstatus": o.o_orderstatus, "n": count_rows()})
+
+
+@registered("enum_list_empty", "SELECT o_orderkey FROM orders WHERE false")
+def _():
+    return Orders.where(lambda o: o.o_orderstatus.in_([])).select(o_orderkey=lambda o: o.o_orderkey)
+
+
+@registered("positional_projection", "SELECT c_custkey AS _1, c_name AS _2, c_acctbal AS _3 FROM customer")
+def _():
+    """P2."""
+    return Customer.select(lambda c: (c.c_custkey, c.c_name, c.c_acctbal))
+
+
+@registered("schema_qualified", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
+def _():
+    """A table of a named schema of Spark's catalog."""
+
+    def run(c):
+        c.catalog.frame(Nation).createOrReplaceGlobalTempView(HeldNation.__table__)
+        return c.query(HeldNation.where(lambda n: n.n_regionkey == 2).select(lambda n: {"n_nationkey": n.n_nationkey, "n_name": n.n_name}))
+
+    return run
+
+
+@registered("raw_statement", "SELECT n_regionkey, count(*) AS n FROM nation WHERE n_nationkey > 4 GROUP BY 1")
+def _():
+    """Text with named values."""
+
+    def run(c):
+        from ..operators.repo import Repo
+
+        c.catalog.frame(Nation).createOrReplaceGlobalTempView(HeldNation.__table__)
+        return Repo(c.catalog).execute(f"SELECT n_regionkey, count(*) AS n FROM global_temp.{HeldNation.__table__} WHERE n_nationkey > :least GROUP BY 1", least=4)
+
+    return run
+
+
+@registered("unloaded_association", "SELECT c_custkey, true AS refused FROM customer ORDER BY c_custkey LIMIT 1")
+def _():
+    """An association that was not preloaded is an error, not an empty list."""
+
+    def run(c):
+        from ..operators.repo import Repo, loaded
+
+        row = Repo(c.catalog).all(Customer.query().order_by(lambda x: x.c_custkey).limit(1))[0]
+        return c.spark.createDataFrame([(row.c_custkey, refused(lambda: loaded(row, "orders")))], "c_custkey long, refused boolean")
+
+    return run
+
+
+@registered("common_table_in_write", "WITH big AS (SELECT o_custkey FROM orders WHERE o_totalprice > 350000) SELECT * FROM customer WHERE NOT (c_acctbal < 0 AND c_custkey IN (SELECT o_custkey FROM big))")
+@changed
+def _(c, rows):
+    """A common table decides which rows a write touches."""
+    big = Orders.where(lambda o: o.o_totalprice > 350000.0).cte("big")
+    return removed(c, rows(Customer), Customer.query().with_table(big).where(lambda x: (x.c_acctbal < 0.0) & x.c_custkey.in_(big.query().select(k=lambda b: b.o_custkey))))
+
+
+@registered("with_deleted_not_reapplied", f"SELECT o_orderkey FROM (SELECT * FROM {FILED} WHERE deleted_at IS NOT NULL UNION ALL SELECT * FROM {FILED} WHERE deleted_at IS NULL) WHERE o_totalprice > 200000")
+def _():
+    """The branches say which deleted rows there are, what is around them does not say it again."""
+    return FiledOrder.only_deleted().union_all(FiledOrder.query()).where(lambda o: o.o_totalprice > 200000.0).select(o_orderkey=lambda o: o.o_orderkey)

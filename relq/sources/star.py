@@ -110,3 +110,18 @@ class Note(Entity, table="notes"):
     id = Field("long", key=True, generated=True)
     name = Field("string")
     version = Field("long", version=True)
+
+
+class Debtor(Entity, table="debtors"):
+    """Suppliers with a derived flag, null for those of one nation."""
+
+    s_suppkey = Field("long", key=True)
+    in_debt = Field("boolean", nullable=True)
+
+
+class HeldNation(Entity, table="relq_nation", schema="global_temp"):
+    """Nations as a table of one of Spark's schemas."""
+
+    n_nationkey = Field("int", key=True)
+    n_name = Field("string")
+    n_regionkey = Field("int")
