@@ -87,7 +87,8 @@ class OnConflict:
     """What an insert does where a stored row has the same values of target.
 
     do_nothing keeps the stored row; set names the columns taken from the incoming row, or maps columns to functions
-    of (existing, incoming). where limits the stored rows that count (a partial index), update_where those updated.
+    of (existing, incoming). where limits the rows that count, stored and incoming (a partial index), update_where those
+    updated. The target is columns or, by constraint=, a name of the entity's unique=; without either it is the primary key.
     """
 
     target: tuple[str, ...] = ()
@@ -95,43 +96,58 @@ class OnConflict:
     where: Callable[[Any], Expr] | None = None
     update_where: Callable[[Any, Any], Expr] | None = None
     nothing: bool = False
+    constraint: str | None = None
 
     @staticmethod
-    def do_nothing(*target: str, where: Callable[[Any], Expr] | None = None) -> OnConflict:
-        return OnConflict(target, where=where, nothing=True)
+    def do_nothing(*target: str, where: Callable[[Any], Expr] | None = None, constraint: str | None = None) -> OnConflict:
+        if target and constraint:
+            raise InvalidConflictClause("a target is columns or a constraint")
+        return OnConflict(target, where=where, nothing=True, constraint=constraint)
 
     @staticmethod
-    def do_update(*target: str, set: Any, where: Any = None, update_where: Any = None) -> OnConflict:  # noqa: A002
-        if not target or not set:
-            raise InvalidConflictClause("an update needs a target and columns to set")
-        return OnConflict(target, set if isinstance(set, dict) else tuple(set), where, update_where)
+    def do_update(*target: str, set: Any, where: Any = None, update_where: Any = None, constraint: str | None = None) -> OnConflict:  # noqa: A002
+        if bool(target) == bool(constraint) or not set:
+            raise InvalidConflictClause("an update needs a target, columns or a constraint, and columns to set")
+        return OnConflict(target, set if isinstance(set, dict) else tuple(set), where, update_where, constraint=constraint)
+
+    def columns(self, entity: type) -> list[str]:
+        """The target's columns in an entity."""
+        if self.constraint is not None and self.constraint not in entity.__unique__:
+            raise InvalidConflictClause(f"{entity.__name__} has no constraint {self.constraint}")
+        fields = entity.__unique__[self.constraint] if self.constraint is not None else self.target
+        return [entity.__fields__[t].column for t in fields] or entity.primary_key()
 
 
 def upserted(compiler: Compiler, df: DataFrame, entity: type, batch: DataFrame, conflict: OnConflict) -> tuple[DataFrame, DataFrame]:
     """(rows after, rows inserted or updated): one full join on the target's columns.
 
     A batch that holds a target's values twice is an error when it runs, as it would touch one row twice; with
-    do_nothing the first by all columns stays. Nulls in a target match nothing.
+    do_nothing the first by all columns stays. Nulls in a target match nothing, nor do rows that where leaves out.
     """
-    target = [entity.__fields__[t].column for t in conflict.target] or entity.primary_key()
-    columns = df.columns
+    target, columns = conflict.columns(entity), df.columns
     whole = F.struct(*columns)
-    known = reduce(lambda a, b: a & b, (F.col(t).isNotNull() for t in target))
+    known = reduce(lambda a, b: a & b, (F.col(t).isNotNull() for t in target), F.col("__counts"))
+
+    def counting(rows: DataFrame, name: str) -> DataFrame:
+        if conflict.where is None:
+            return rows.withColumn("__counts", F.lit(True))
+        test, own = conflict.where(Columns(entity, name)), Scope(compiler, frozenset())
+        return own.bind(rows.alias(name), [test]).withColumn("__counts", F.coalesce(own.column(test), F.lit(False))).select(*rows.columns, "__counts")
+
+    batch, df = counting(batch, "incoming"), counting(df, "existing")
     twice = batch.where(known).groupBy(*target).agg(F.min(whole).alias("__row"), F.count(F.lit(1)).alias("__n"))
     if not conflict.nothing:
         twice = twice.withColumn("__row", F.when(F.col("__n") == 1, F.col("__row")).otherwise(F.raise_error(F.lit("RELQ: the batch holds a key of the conflict target twice")).cast(twice.schema["__row"].dataType)))
-    batch = twice.select("__row.*").unionByName(batch.where(~known))
+    batch = twice.select("__row.*", F.lit(True).alias("__counts")).unionByName(batch.where(~known))
     old, new = df.alias("existing"), batch.withColumn("__new", F.lit(True)).alias("incoming")
     on = reduce(lambda a, b: a & b, (F.col(f"existing.`{t}`") == F.col(f"incoming.`{t}`") for t in target))
+    on = on & F.col("existing.__counts") & F.col("incoming.__counts")
     e, i = Columns(entity, "existing"), Columns(entity, "incoming")
-    counts = conflict.where(e) if conflict.where is not None else None
     wanted = conflict.update_where(e, i) if conflict.update_where is not None else None
     names = conflict.set if isinstance(conflict.set, dict) else {c: None for c in conflict.set}
     values = {entity.__fields__[n].column: getattr(i, n) if f is None else expr(f(e, i)) for n, f in names.items()}
     scope = Scope(compiler, frozenset())
-    old = scope.bind(old.withColumn("__old", F.lit(True)).alias("existing"), [counts, wanted, *values.values()])
-    if counts is not None:
-        on = on & F.coalesce(scope.column(counts), F.lit(False))
+    old = scope.bind(old.withColumn("__old", F.lit(True)).alias("existing"), [wanted, *values.values()])
     both = old.join(new, on, "full")
     clash = F.col("existing.__old").isNotNull() & F.col("incoming.__new").isNotNull()
     change = F.lit(False) if conflict.nothing else clash

@@ -670,6 +670,32 @@ def _(c, rows):
     return upserted(c, rows(Customer), Customer, incoming(rows), OnConflict.do_nothing("c_custkey"))
 
 
+NOTES = "(SELECT s_suppkey AS id, s_name AS name, CAST(s_acctbal < 0 AS BIGINT) AS version, CAST(s_nationkey % 2 AS BIGINT) AS other FROM supplier)"
+
+
+def notes(rows):
+    """(stored, incoming): a note of each supplier, and another of the same name."""
+    name = F.col("s_name").alias("name")
+    stored = rows(Supplier).select(F.col("s_suppkey").alias("id"), name, (F.col("s_acctbal") < 0).cast("long").alias("version"))
+    return stored, rows(Supplier).select((F.col("s_suppkey") + (1 << 40)).alias("id"), name, (F.col("s_nationkey") % 2).cast("long").alias("version"))
+
+
+@registered("upsert_partial_index", f"SELECT id, name, CASE WHEN version = 0 AND other = 0 THEN 5 ELSE version END AS version FROM {NOTES} UNION ALL SELECT id + {1 << 40}, name, other FROM {NOTES} WHERE NOT (version = 0 AND other = 0)")
+@changed
+def _(c, rows):
+    """Only rows that the index holds, stored and incoming, can clash."""
+    stored, batch = notes(rows)
+    return upserted(c, stored, Note, batch, OnConflict.do_update("name", set={"version": lambda e, i: e.version + i.version + 5}, where=lambda n: n.version == 0))
+
+
+@registered("upsert_by_constraint", f"SELECT id, name, version + other AS version FROM {NOTES}")
+@changed
+def _(c, rows):
+    """The target is a named constraint."""
+    stored, batch = notes(rows)
+    return upserted(c, stored, Note, batch, OnConflict.do_update(constraint="notes_name", set={"version": lambda e, i: e.version + i.version}))
+
+
 @registered("soft_delete_write", f"SELECT o_orderkey, o_custkey, o_totalprice, priority, CASE WHEN deleted_at IS NULL AND o_custkey < 100 THEN TIMESTAMP '2024-01-01' ELSE deleted_at END AS deleted_at FROM {FILED}")
 @changed
 def _(c, rows):

@@ -92,20 +92,24 @@ class Columns:
 
 
 class Entity:
-    """Subclass with table= (and schema=): each Field attribute is a column, each association may be preloaded."""
+    """Subclass with table= (and schema=): each Field attribute is a column, each association may be preloaded.
+
+    unique= names sets of fields whose values are unique, for targets of upserts."""
 
     __table__: str
     __schema_name__: str | None
     __fields__: dict[str, Field]
+    __unique__: dict[str, tuple[str, ...]]
     __associations__: dict[str, Association]
 
-    def __init_subclass__(cls, table: str | None = None, schema: str | None = None, filterable: tuple[str, ...] = (), **kw: Any) -> None:
+    def __init_subclass__(cls, table: str | None = None, schema: str | None = None, filterable: tuple[str, ...] = (), unique: dict[str, tuple[str, ...]] | None = None, **kw: Any) -> None:
         super().__init_subclass__(**kw)
         cls.__table__ = table or snake(cls.__name__)
         cls.__schema_name__ = schema
         cls.__fields__ = {k: v for k, v in vars(cls).items() if isinstance(v, Field)}
         cls.__associations__ = {k: v for k, v in vars(cls).items() if isinstance(v, Association)}
         cls.__filterable__ = filterable
+        cls.__unique__ = dict(unique or {})
 
     @classmethod
     def columns(cls) -> list[str]:

@@ -104,7 +104,7 @@ class Edge(Entity, table="walk_nodes"):
     parent_id = Field("string", nullable=True)
 
 
-class Note(Entity, table="notes"):
+class Note(Entity, table="notes", unique={"notes_name": ("name",)}):
     """Rows with a generated key and a version, for writes."""
 
     id = Field("long", key=True, generated=True)

@@ -8,7 +8,7 @@ from relq.functions.expr import following, preceding
 from relq.operators import combine
 from relq.operators.write import OnConflict, refuse_clauses
 from relq.sources import Entity, Field
-from relq.sources.star import Customer, FiledOrder, Nation, Orders
+from relq.sources.star import Customer, FiledOrder, Nation, Note, Orders
 
 
 def code(f):
@@ -90,6 +90,11 @@ def test_bulk_writes_refuse_clauses():
         assert code(lambda q=q: refuse_clauses(q)) == 4111
     with pytest.raises(InvalidConflictClause):
         OnConflict.do_update("a", set=())
+    with pytest.raises(InvalidConflictClause):
+        OnConflict.do_update("name", set=("version",), constraint="notes_name")
+    with pytest.raises(InvalidConflictClause):
+        OnConflict.do_nothing(constraint="notes_id").columns(Note)
+    assert OnConflict.do_nothing(constraint="notes_name").columns(Note) == ["name"] and OnConflict.do_nothing().columns(Note) == ["id"]
 
 
 def test_values_do_not_change():
