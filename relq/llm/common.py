@@ -8,8 +8,13 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +22,8 @@ from ..sources.shared import shared_folder
 
 #: Rows of one Arrow batch handed to Python, so that a batch of long texts stays small.
 BATCH_ROWS = 256
+#: Bits of a bitmap of keys (likely_among): for each key at least, and at most in all (8 MB).
+KEY_BITS, MOST_BITS = 64, 1 << 26
 
 
 def reachable(spark: SparkSession) -> None:
@@ -33,19 +40,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Folders that this process has made in the shared one.
 _made: list[str] = []
+#: Those of them that the innermost scratch() removes.
+_scratch: ContextVar[list[str] | None] = ContextVar("_scratch", default=None)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clean(spark: SparkSession) -> None:
     """Removes the intermediate tables made so far. Frames that were made from them can't be read afterwards."""
     while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(spark, _made.pop())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made within are removed at its end: what is kept must be written to a folder made before."""
+    own: list[str] = []
+    token = _scratch.set(own)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for folder in own:
+            _remove(spark, folder)
+            if folder in _made:
+                _made.remove(folder)
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """The path of a folder of its own in the shared one, which clean() removes."""
     path = f"{shared_folder(spark)}/relq-{label}-{uuid.uuid4().hex}"
     _made.append(path)
+    own = _scratch.get()
+    if own is not None:
+        own.append(path)
     return path
 
 
@@ -56,6 +87,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def likely_among(df: DataFrame, columns: list[str], keys: DataFrame, others: bool = False) -> DataFrame:
+    """All rows of df whose values in these columns are among those of keys (columns of the same names and types), and
+    a few others: one in 64 where keys has up to a million rows, more beyond that. A join with keys afterwards decides,
+    and need not move the rest of df. others: the rest instead.
+
+    The hashes of keys are bits of a bitmap, MOST_BITS at most, which is broadcast. keys is read twice.
+    """
+    bits = min(MOST_BITS, 1 << max(10, (KEY_BITS * keys.count() - 1).bit_length()))
+    place = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    held = keys.select(place.alias("place")).select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, CAST(place & 63 AS INT))").alias("bit"))
+    held = held.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[held["word"].to_numpy()] = held["bits"].to_numpy()
+    (name,) = free_names(df, "__words")
+    bitmap = df.sparkSession.createDataFrame(pa.table({name: pa.array([words], pa.list_(pa.int64()))}))
+    bit = F.getbit(F.get(F.col(name), F.shiftright(place, 6).cast("int")), place.bitwiseAND(63).cast("int"))
+    return df.join(F.broadcast(bitmap), bit == 1, "left_anti" if others else "left_semi")
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     reachable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

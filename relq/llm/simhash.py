@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, free_names, materialize, small_batches, table
+from .common import connected_components, free_names, likely_among, materialize, new_folder, scratch, small_batches, table
 
 SEED = 42
 #: Fingerprints from which the top of the tree is made: at least, at most, and for each shard in between.
@@ -254,10 +254,16 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
     return own.mapInArrow(run, "key long, same long, fp long, sig binary, bands array<long>")
 
 
+def _keys(pairs: DataFrame) -> DataFrame:
+    """(key) of the documents in these pairs (rep, other)."""
+    return materialize(pairs.select(F.explode(F.array("rep", "other")).alias("key")).distinct(), "keys")
+
+
 def _compared(pairs: DataFrame, side: DataFrame, like, least: float) -> DataFrame:
     """Those of the pairs (rep, other, parts) whose values in side (key, own) are so alike, with like.
 
-    other may be in a great many pairs: its value goes out parts times, and its pairs meet one of these each.
+    other may be in a great many pairs: its value goes out parts times, and its pairs meet one of these each. Values
+    that no pair asks for stay where they are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,6 +271,7 @@ def _compared(pairs: DataFrame, side: DataFrame, like, least: float) -> DataFram
             found = [like(x, y) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.float64())], ["rep", "other", "parts", "like"])
 
+    side = likely_among(side, ["key"], _keys(pairs))
     often = pairs.groupBy("other").agg(F.max("parts").alias("most"))
     spread = side.select(F.col("key").alias("other"), F.col("own").alias("y")).join(often, "other")
     spread = spread.select("other", "y", F.explode(F.sequence(F.lit(0), F.col("most") - 1)).alias("part"))
@@ -291,15 +298,15 @@ def _sets(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
             sets = [np.unique(np.frombuffer(shingle_digests(t, words), np.uint64)).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["key", "own"])
 
-    texts = docs.select(row_key(docs).alias("key"), F.col("text").cast("string").alias("text")).join(keys, "key", "left_semi")
-    return materialize(texts.mapInArrow(run, "key long, own binary").dropDuplicates(["key"]), "sets")
+    texts = likely_among(docs.select(row_key(docs).alias("key"), F.col("text").cast("string").alias("text")), ["key"], keys)
+    return materialize(texts.mapInArrow(run, "key long, own binary").dropDuplicates(["key"]).join(keys, "key", "left_semi"), "sets")
 
 
-def _uncovered(banded: DataFrame, ends: DataFrame, label: DataFrame) -> DataFrame:
+def _uncovered(shared: DataFrame, label: DataFrame) -> DataFrame:
     """(key, component) of the members of bands that hold several components and pairs not compared: of up to three
     members each pair has the least or the largest."""
     of = label.select(F.col("node").alias("rep"), "component")
-    own = banded.join(ends.where("members > 3").select("n", "band"), ["n", "band"]).join(of, "rep", "left").select("n", "band", "rep", F.coalesce("component", "rep").alias("component"))
+    own = shared.where("members > 3").join(of, "rep", "left").select("n", "band", "rep", F.coalesce("component", "rep").alias("component"))
     own = materialize(own, "members")
     mixed = own.groupBy("n", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("n", "band")
     return own.join(mixed, ["n", "band"]).select(F.col("rep").alias("key"), "component").distinct()
@@ -377,15 +384,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     ends = banded.groupBy("n", "band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high")
     ends = materialize(ends, "bands")
     parts = lambda members: F.ceil(members / HUB).cast("int").alias("parts")
-    shared = banded.join(ends, ["n", "band"]).select("rep", F.explode(F.array("low", "high")).alias("other"), parts(F.col("members")))
+    shared = materialize(likely_among(banded, ["n", "band"], ends).join(ends, ["n", "band"]), "shared")
+    in_bands = shared.select("rep", F.explode(F.array("low", "high")).alias("other"), parts(F.col("members")))
     least = one.groupBy("fp").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("members"))
     tree = links(least.select("fp"), RADIUS)
     close = tree.join(least.select(F.col("fp").alias("a"), F.col("rep")), "a").join(least.select(F.col("fp").alias("b"), F.col("rep").alias("other")), "b")
     same_fp = one.join(least.select("fp", F.col("rep").alias("other"), "members"), "fp").select("rep", "other", parts(F.col("members")))
-    both = shared.unionByName(same_fp).unionByName(close.select("rep", "other", F.lit(1).alias("parts"))).where("rep != other")
+    both = in_bands.unionByName(same_fp).unionByName(close.select("rep", "other", F.lit(1).alias("parts"))).where("rep != other")
     pairs = both.groupBy("rep", "other").agg(F.max("parts").alias("parts"))
     rated = materialize(_compared(materialize(pairs, "candidates"), one.select(F.col("rep").alias("key"), F.col("sig").alias("own")), estimate, LOW), "rated")
-    sets = _sets(docs, rated.select(F.explode(F.array("rep", "other")).alias("key")).distinct(), words)
+    sets = _sets(docs, _keys(rated), words)
     exact = lambda found, sets: materialize(_compared(found, sets, jaccard, similarity).select(F.col("rep").alias("a"), F.col("other").alias("b")), "exact")
     best = rated.groupBy("rep").agg(F.max(F.struct("like", "other", "parts")).alias("best")).select("rep", "best.other", "best.parts")
     likeliest = exact(materialize(best, "best"), sets)
@@ -394,7 +402,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     open_ = rated.join(of("rep"), "rep", "left").join(of("other"), "other", "left")
     open_ = materialize(open_.where(F.coalesce("crep", "rep") != F.coalesce("cother", "other")).select("rep", "other", "parts"), "open")
     label = materialize(connected_components(likeliest.unionByName(exact(open_, sets))), "linked")
-    rest = materialize(_uncovered(banded, ends, label), "rest")
+    rest = materialize(_uncovered(shared, label), "rest")
     if not rest.isEmpty():
         sets = _sets(docs, rest.select("key"), words)
         more = exact(_sharing_prefixes(rest, sets, similarity), sets)
@@ -424,13 +432,17 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     if not several.isEmpty():
         keyed = keyed.join(several, key, "left").withColumn(key, F.when(text != F.col(low), text).otherwise(F.col(key))).drop(low)
         asked = keyed.select(F.col(key).alias("doc_id"), "text")
-    found = materialize(near_duplicates(asked, words, similarity), "groups")
-    kept = found.where(F.col("key") == F.col("component")).groupBy(F.col("key").alias(key)).agg(F.count(F.lit(1)).alias(count))
-    out = keyed.join(kept, key)
-    once, more = out.where(F.col(count) == 1), out.where(F.col(count) > 1)
-    if not kept.where(F.col(count) > 1).isEmpty():
-        once = once.unionByName(more.dropDuplicates([key]))
-    return once.drop(key, count)
+    groups = new_folder(docs.sparkSession, "groups")
+    with scratch(docs.sparkSession):
+        near_duplicates(asked, words, similarity).write.parquet(groups)
+    found = docs.sparkSession.read.schema("key long, component long").parquet(groups)
+    own = found.groupBy(F.col("key").alias(key)).agg(F.count(F.lit(1)).alias(count), F.max(F.col("key") == F.col("component")).alias(low))
+    odd = materialize(own.where(~F.col(low) | (F.col(count) > 1)), "odd")  # keys that go, or whose rows are several
+    out = likely_among(keyed, [key], odd.select(key)).join(odd, key, "left").where(F.coalesce(F.col(low), F.lit(True)))
+    once = likely_among(keyed, [key], odd.select(key), others=True).unionByName(out.where(F.col(count).isNull()).drop(count, low))
+    if not odd.where(F.col(low)).isEmpty():
+        once = once.unionByName(out.where(F.col(count) > 1).drop(count, low).dropDuplicates([key]))
+    return once.drop(key)
 
 
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

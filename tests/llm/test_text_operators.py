@@ -1,6 +1,7 @@
 """The text operators on small tables: brute force, exact round trips, and odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from relq.llm import cws, mixing, packing, secrets, simhash, token_counts, toxicity
+from relq.llm import common, cws, mixing, packing, secrets, simhash, token_counts, toxicity
 from relq.llm.common import connected_components
 from relq.llm.tokenizer import default_path, encoder
 
@@ -376,6 +377,39 @@ def test_families_with_a_shared_passage_by_brute_force(spark):
     assert got == {k: min(g) for g in groups.values() for k in g}
 
 
+def test_bitmap_of_keys_loses_none(spark):
+    keys = spark.range(0, 3000, 3).select(F.col("id").alias("key"))
+    rows = spark.range(30_000).select(F.col("id").alias("key"), F.lit("x").alias("__words"))
+    found = {r.key for r in common.likely_among(rows, ["key"], keys).collect()}
+    assert found >= set(range(0, 3000, 3)) and len(found) < 2500
+    assert {r.key for r in common.likely_among(rows, ["key"], keys, others=True).collect()} == set(range(30_000)) - found
+    assert common.likely_among(rows, ["key"], keys.limit(0)).count() == 0
+
+
+def test_near_duplicates_move_few_texts_and_leave_little(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(1500)) for _ in range(150)]
+    docs = common.materialize(documents(spark, [*texts, texts[0] + " more", texts[1]], [*range(150), 500, 501]), "texts")
+    sc = spark.sparkContext
+    tracker = sc._jsc.sc().statusStore()
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+
+    def moved() -> int:
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = tracker.stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    held, before = set(common._made), moved()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = {r.doc_id for r in common.materialize(simhash.one_of_each(docs), "kept").collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert kept == set(range(150))
+    assert moved() - before < 0.5 * sum(map(len, texts))
+    assert len(set(common._made) - held) <= 4  # not the tables that led to the groups
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(12)
     often = np.arange(0, 60, dtype=np.uint64)
